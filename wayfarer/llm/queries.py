@@ -5,8 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wayfarer.llm.common import table
+from wayfarer.llm.common import held_out, table
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayfarer.llm.langid import fit_on_documents, identify
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, fit_on_documents(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +29,13 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), keep_ids=False)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayfarer.llm.toxicity import fit_on_labels, toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity(docs, fit_on_labels(docs, table(spark, sf_dir, "labels"))).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayfarer.llm.bpe import tokenizer_path
     from wayfarer.llm.packing import pack
@@ -28,6 +43,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), max_len=2048, end_id=0)
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayfarer.llm.extraction import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op10_wavelet_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayfarer.llm.bpe import tokenizer_path
     from wayfarer.llm.wavelet import token_store
@@ -35,5 +56,5 @@ def op10_wavelet_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality_rules, op4_bpe_round_trip, op8_best_fit_packing, op10_wavelet_store)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op3_quality_rules, op4_bpe_round_trip, op7_toxicity, op8_best_fit_packing, op9_html_extraction, op10_wavelet_store)}
 ORACLE_SQL: dict[str, str] = {}
