@@ -55,7 +55,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.logits(*features(column)), -30, 30)))
 
 
-def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, rank: int = 6, epochs: int = 15, rate: float = 0.2, batch: int = 64, decay: float = 1e-4, common: float = 0.05, telling: float = 4.0, seed: int = 7) -> Machine:
+def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, rank: int = 6, epochs: int = 15, rate: float = 0.2, batch: int = 64, decay: float = 1e-3, common: float = 0.1, telling: float = 4.0, seed: int = 7) -> Machine:
     """Weighted logistic loss, AdaGrad over the terms that are common (that share of the texts has them) or
     telling (the two classes' shares differ by that many standard errors); the others, too rare to learn from, keep weight 0.
 
