@@ -104,7 +104,7 @@ def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, rank: int = 6,
             gx = g[d] * x
             gw = np.bincount(which, gx, len(touched)) + decay * len(rows) * w[touched]
             gv = SCALE * (total[d] - vx) * gx[:, None]
-            gv = np.stack([np.bincount(which, gv[:, f], len(touched)) for f in range(rank)], 1) + decay * len(rows) * v[touched]
+            gv = np.stack([np.bincount(which, gv[:, f], len(touched)) for f in range(rank)], 1) + decay / 10 * len(rows) * v[touched]
             sum_b += float(g.sum()) ** 2
             sum_w[touched] += gw * gw
             sum_v[touched] += gv * gv
