@@ -27,11 +27,21 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/wayfarer-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, is computed once, and outlives the executors that made it."""
+    """df as a table in the shared folder: cuts the lineage, is computed once, and outlives the executors that made it.
+
+    The shuffle files behind it are given up as soon as it is written, so that steps don't pile them up."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

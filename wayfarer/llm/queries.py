@@ -29,6 +29,12 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), keep_ids=False)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayfarer.llm.substring import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), window=20, with_text=False)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayfarer.llm.toxicity import fit_on_labels, toxicity
 
@@ -56,5 +62,5 @@ def op10_wavelet_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op3_quality_rules, op4_bpe_round_trip, op7_toxicity, op8_best_fit_packing, op9_html_extraction, op10_wavelet_store)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op3_quality_rules, op4_bpe_round_trip, op6_substring_dedup, op7_toxicity, op8_best_fit_packing, op9_html_extraction, op10_wavelet_store)}
 ORACLE_SQL: dict[str, str] = {}
