@@ -93,3 +93,58 @@ def test_components(spark, kind):
     links = [(a, b) for a, b in links if a != b]
     df = spark.createDataFrame([*links, (7, 7), (None, 3)], "a long, b long")
     assert {tuple(r) for r in components(df).collect()} == brute_components(links)
+
+
+def brute_near(rows, width, percent=80):
+    sets = []
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append((i, frozenset(zip(*(w[k:] for k in range(width)), strict=False)) if len(w) >= width else frozenset([tuple(w)] if w else [])))
+    links, usable = [], [(i, s) for i, s in sets if s and i is not None]
+    where = {}
+    for i, s in usable:
+        for x in s:
+            where.setdefault(x, []).append((i, s))
+    done = set()
+    for i, s in usable:
+        for j, o in {(j, o) for x in s for j, o in where[x]}:
+            if i < j and (i, j, s, o) not in done:
+                done.add((i, j, s, o))
+                both = len(s & o)
+                if 100 * both >= percent * (len(s) + len(o) - both):
+                    links.append((i, j))
+    root = dict(brute_components(links))
+    return sorted(((i, len(s), root.get(i, i), root.get(i, i) == i) for i, s in sets), key=str)
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_near_duplicates_documents(spark, width):
+    from wayfarer.llm.minhash import near_duplicates
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    assert sorted(map(tuple, near_duplicates(docs, width).collect()), key=str) == brute_near(rows, width)
+
+
+def test_near_duplicates_chains(spark):
+    """Copies of copies: neighbours are similar, ends are not, and hubs are similar to some of their buckets only."""
+    from wayfarer.llm.minhash import near_duplicates
+
+    rng = random.Random(4)
+    rows, w = [], [f"w{rng.randint(0, 9999)}" for _ in range(120)]
+    for k in rng.sample(range(1000), 150):
+        rows.append((k, " ".join(w)))
+        w = list(w)
+        for _ in range(rng.choice([0, 2, 3, 4, 5])):
+            w[rng.randrange(len(w))] = f"w{rng.randint(0, 9999)}"
+    docs = odd_docs(spark, rows).repartition(4)
+    assert sorted(map(tuple, near_duplicates(docs, 2).collect()), key=str) == brute_near(rows, 2)
+
+
+def test_near_duplicates_odd(spark):
+    from tests.llm.util import ODD
+    from wayfarer.llm.minhash import near_duplicates
+
+    rows = [r for r in ODD if r[0] != 3] + [(3, "one two three"), (3, "one two three"), (20, "ONE two\tthree"), (21, "one"), (22, "One "), (23, "x y")]
+    assert sorted(map(tuple, near_duplicates(odd_docs(spark, rows), 2).collect()), key=str) == brute_near(rows, 2)
+    assert near_duplicates(odd_docs(spark, []), 2).collect() == []

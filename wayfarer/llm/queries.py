@@ -17,6 +17,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, fit_on_documents(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayfarer.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayfarer.llm.quality import quality_rules
 
@@ -62,5 +68,5 @@ def op10_wavelet_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op3_quality_rules, op4_bpe_round_trip, op6_substring_dedup, op7_toxicity, op8_best_fit_packing, op9_html_extraction, op10_wavelet_store)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_minhash_near_dedup, op3_quality_rules, op4_bpe_round_trip, op6_substring_dedup, op7_toxicity, op8_best_fit_packing, op9_html_extraction, op10_wavelet_store)}
 ORACLE_SQL: dict[str, str] = {}
