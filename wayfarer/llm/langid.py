@@ -162,3 +162,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def fit_on_documents(docs: DataFrame, **options) -> Model:
     return fit(docs.where(~held_out(F.col("doc_id"))), **options)
+
+
+def without_rejected(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, with all their columns, whose text isn't rejected."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            yield b.filter(pa.array(~model.predict(texts(b))[2]))
+
+    return docs.mapInArrow(run, docs.schema)

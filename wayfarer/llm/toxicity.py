@@ -6,7 +6,8 @@ are runs of letters and digits, hashed. The machine is fitted by AdaGrad on a bo
 (fit_rows of each class, weighted by the classes' true sizes).
 
 Defined results: null and empty texts have no term and get the bias alone; null ids and repeated rows pass through; without
-labels of both classes the score is the share of toxic labels (0.5 without any label). Extra columns are ignored.
+labels of both classes the score is the share of toxic labels, and next to 0 without any label, as nothing then speaks
+against a text. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -63,7 +64,7 @@ def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, rank: int = 6,
     stand in nearly all texts, can't drown the telling ones. It is folded into the term's weight and factors at the end."""
     size = 1 << BITS
     if not len(labels) or labels.min() == labels.max():
-        p = float(np.clip(labels.mean() if len(labels) else 0.5, 1e-3, 1 - 1e-3))
+        p = float(np.clip(labels.mean() if len(labels) else 0.0, 1e-3, 1 - 1e-3))
         return Machine(float(np.log(p / (1 - p))), np.zeros(size, np.float32), np.zeros((size, rank), np.float32), 0.0)
     term, count = features(pa.array(texts, pa.large_string()))
     of = np.repeat(np.arange(len(count)), count)
@@ -152,3 +153,14 @@ def toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+
+
+def without_toxic(docs: DataFrame, machine: Machine) -> DataFrame:
+    """The rows of docs, with all their columns, that are not predicted toxic."""
+    parts = docs.sparkSession.sparkContext.broadcast(machine)  # 2**BITS weights and factors
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 4_000_000):
+            yield b.filter(pa.array(parts.value.score(b.column("text").cast(pa.string())) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
