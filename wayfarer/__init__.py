@@ -1,0 +1 @@
+"""Human-mobility analytics on Spark DataFrames."""
