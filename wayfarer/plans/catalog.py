@@ -81,9 +81,9 @@ def meters_to_degrees(spark, sf):
 # -- staypoints ------------------------------------------------------------------------------------------------------
 
 
-@query(with_sql("sp", "select id, user_id, started_at, finished_at, round(lon, 6) as lon, round(lat, 6) as lat from sp"))
+@query(with_sql("sp", "select id, user_id, started_at, finished_at, round(lon, 9) as lon, round(lat, 9) as lat from sp"))
 def staypoints_sliding(spark, sf):
-    return fx.staypoints(spark, sf)[1].select("id", "user_id", "started_at", "finished_at", r6("lon").alias("lon"), r6("lat").alias("lat"))
+    return fx.staypoints(spark, sf)[1].select("id", "user_id", "started_at", "finished_at", r6("lon", 9).alias("lon"), r6("lat", 9).alias("lat"))
 
 
 _LAST = f"""select user_id, started_at, finished_at from (
@@ -107,12 +107,12 @@ def pfs_staypoint_link(spark, sf):
     return fx.staypoints(spark, sf)[0].select("id", "staypoint_id")
 
 
-@query(with_sql("sp", "select id, t1 - t0 > 1440 * 60000000 as is_activity from sp"))
+@query(with_sql("sp", "select id, t1 - t0 > 86400000000 as is_activity from sp"))
 def activity_flag(spark, sf):
     return labelling.create_activity_flag(fx.staypoints(spark, sf)[1], time_threshold=1440.0).select("id", "is_activity")
 
 
-@query(with_sql("sp", "select user_id, count(*) as n_staypoints, cast(sum(cast(t1 - t0 > 1440 * 60000000 as int)) as bigint) as n_activities, round(sum(t1 - t0) / 3.6e9, 6) as dwell_hours from sp group by user_id"))
+@query(with_sql("sp", "select user_id, count(*) as n_staypoints, cast(sum(cast(t1 - t0 > 86400000000 as int)) as bigint) as n_activities, round(sum(t1 - t0) / 3.6e9, 6) as dwell_hours from sp group by user_id"))
 def dwell_by_user(spark, sf):
     sp = labelling.create_activity_flag(fx.staypoints(spark, sf)[1], time_threshold=1440.0)
     hours = F.sum(micros("finished_at") - micros("started_at")) / F.lit(3.6e9)
@@ -214,7 +214,7 @@ def transport_mode(spark, sf):
 _MERGE = f"""
     select min(id) as id, user_id, arg_min(started_at, (t0, id)) as started_at, arg_max(finished_at, (t0, id)) as finished_at, arg_min(location_id, (t0, id)) as location_id, count(*) as n_merged from (
     select *, sum(case when lag_joins then 0 else 1 end) over (partition by user_id order by t0, id) as run from (select *, coalesce(lag(joins) over (partition by user_id order by t0, id), false) as lag_joins from (
-    select s.*, coalesce(lead(s.location_id) over w = s.location_id and lead(s.t0) over w - s.t1 <= 6 * 3600 * 1000000 and coalesce(k.next_kind, '') <> 'tpl', false) as joins
+    select s.*, coalesce(lead(s.location_id) over w = s.location_id and lead(s.t0) over w - s.t1 <= 21600000000 and coalesce(k.next_kind, '') <> 'tpl', false) as joins
     from (select *, {fx.LOC} as location_id from sp) s join (select * from (select id, kind, lead(kind) over (partition by user_id order by t0, kind, id) as next_kind from (
         select user_id, id, t0, 'sp' as kind from sp union all select user_id, id, ta, 'tpl' from tpl)) where kind = 'sp') k on k.id = s.id window w as (partition by s.user_id order by s.t0, s.id)))) group by user_id, run"""
 
