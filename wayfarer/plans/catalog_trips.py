@@ -150,7 +150,7 @@ def _component_sql(same_user: bool, select: str, epsilon: float = 100) -> str:
 
 
 _MEMBERS = "select p.id, n.location_id from placed_sp p join numbered n using (c)"
-_CENTRES = "select user_id, location_id as id, round(x, 9) as x, round(y, 9) as y from (select distinct user_id, location_id from placed_sp join numbered using (c)) join (select location_id, degrees(atan2(avg(sin(radians(lon))), avg(cos(radians(lon))))) as x, avg(lat) as y from (select distinct location_id, lon, lat from placed_sp join numbered using (c)) group by 1) using (location_id)"
+_CENTRES = "select user_id, location_id as id, round(x, 12) as x, round(y, 12) as y from (select distinct user_id, location_id from placed_sp join numbered using (c)) join (select location_id, degrees(atan2(avg(sin(radians(lon))), avg(cos(radians(lon))))) as x, avg(lat) as y from (select distinct location_id, lon, lat from placed_sp join numbered using (c)) group by 1) using (location_id)"
 
 
 def _locations(spark, sf, level, **options):
@@ -166,7 +166,7 @@ def locations_user(spark, sf):
 
 @query(_component_sql(True, _CENTRES))
 def locations_user_centers(spark, sf):
-    return _locations(spark, sf, "user")[1].select("user_id", "id", r6("center.x", 9).alias("x"), r6("center.y", 9).alias("y"))
+    return _locations(spark, sf, "user")[1].select("user_id", "id", r6("center.x", 12).alias("x"), r6("center.y", 12).alias("y"))
 
 
 @query(_component_sql(False, _MEMBERS))
@@ -176,7 +176,7 @@ def locations_dataset(spark, sf):
 
 @query(_component_sql(False, _CENTRES))
 def locations_dataset_centers(spark, sf):
-    return _locations(spark, sf, "dataset")[1].select("user_id", "id", r6("center.x", 9).alias("x"), r6("center.y", 9).alias("y"))
+    return _locations(spark, sf, "dataset")[1].select("user_id", "id", r6("center.x", 12).alias("x"), r6("center.y", 12).alias("y"))
 
 
 @query(with_sql("sp", f"""
