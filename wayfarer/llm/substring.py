@@ -158,6 +158,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, keep: list[str] | None = N
     the columns named in keep, as they are."""
     keep = keep or []
     spans = repeats(docs, window).groupBy("doc", "tid").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))  # of one text
+    spans = written(spans, "spans")  # before the texts are shuffled, so that not both take up disk
     rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST)).alias("doc"), F.hash("text").alias("tid"), *(F.col(c).alias(f"keep_{c}") for c in keep))
     rows = rows.join(spans, ["doc", "tid"], "left").drop("doc", "tid")
     fields = {f.name: f for f in docs.schema}
