@@ -8,8 +8,8 @@ first collection with one of the second, so tables ** 2 keys come from 2 * table
 Groups. Documents with equal sets are one class, stood for by its smallest doc_id, before anything is compared. The classes
 that share a key are a bucket; buckets are read in sorted order with no state but the first class, the bucket's hub, and each
 class is compared with its hub only. That connects nearly everything without ever making all pairs of a group. Then, so that no
-link is lost, the classes of a bucket that did not end in their hub's component are joined with the bucket's other components:
-pairs of different components that agree in size and in a sketch of their minima, each pair in the first bucket that it shares.
+link is lost, the classes that did not end in their hub's component are compared with all classes that met under that component:
+block by block, and on full sets wherever two agree in size and in a sketch of their minima.
 
 Comparisons are dealt out by hub, in portions of `portion` classes, so that a hub with very many classes is many tasks' work.
 
@@ -174,6 +174,47 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int, port
     return rows.mapInArrow(lambda it: _confirm(it, width, percent), "a bigint, b bigint")
 
 
+def _across(placed: DataFrame, classes: DataFrame, texts: DataFrame, sketch: list[str], width: int, percent: int, most: int, block: int = 128, portion: int = 256) -> DataFrame:
+    """Links between classes that met in a bucket but ended in different components.
+
+    What met under hubs of one component is a gathering; its strays are the classes of other components. Strays are compared
+    with the whole gathering, a block of strays and a portion of the gathering in a task, which gives back links only: no pair
+    is written or shuffled, and no gathering is held by one task."""
+    unsettled = placed.where("own != hubs").select("key").distinct()
+    met = placed.join(unsettled, "key", "left_semi").select(F.col("hubs").alias("h"), "rep", "own").distinct()
+    met = written(met, "met")
+    stray = F.col("own") != F.col("h")
+    sizes = met.groupBy("h").agg(F.greatest(F.lit(1), F.ceil(F.sum(stray.cast("int")) / block)).cast("int").alias("blocks"), F.ceil(F.count(F.lit(1)) / portion).cast("int").alias("portions"))
+    of = met.join(sizes, "h")
+    mine, yours = F.pmod(F.hash("rep"), "blocks").alias("block"), F.pmod(F.hash("rep", F.lit(1)), "portions").alias("portion")
+    left = of.where(stray).select("h", "rep", "own", mine, F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"), F.lit(True).alias("first"))
+    right = of.select("h", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), yours, F.lit(False).alias("first"))
+    rows = left.union(right).join(classes.select("rep", *sketch), "rep").join(texts, "rep")
+
+    def compare(table: pa.Table) -> pa.Table:
+        b = table.combine_chunks()
+        sets, count = shingle_sets(b.column("text").combine_chunks(), width)
+        ends = np.cumsum(count)
+        e = np.stack([b.column(c).to_numpy().view(np.uint64) for c in sketch], 1)
+        rep, own, first = (b.column(c).to_numpy() for c in ("rep", "own", "first"))
+        x, y = np.flatnonzero(first), np.flatnonzero(~first)
+        h, a, z = b.column("h")[0].as_py(), [], []
+        for i in x.tolist():
+            n = count[y]
+            ok = (own[y] != own[i]) & ((own[y] == h) | (rep[y] > rep[i])) & (100 * np.minimum(n, count[i]) >= percent * np.maximum(n, count[i]))
+            ok &= np.bitwise_count(e[y] ^ e[i]).sum(1) <= most
+            hub = sets[ends[i] - count[i] : ends[i]]
+            for j in y[ok].tolist():
+                s = sets[ends[j] - count[j] : ends[j]]
+                at = np.searchsorted(hub, s)
+                both = int((hub[np.minimum(at, len(hub) - 1)] == s).sum())
+                if 100 * both >= percent * (len(hub) + len(s) - both):
+                    a.append(rep[i]), z.append(rep[j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(z, pa.int64())})
+
+    return rows.groupBy("h", "block", "portion").applyInArrow(compare, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tables: int = 14, rows: int = 3) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and kept."""
     made = written(sketches(docs, width, tables, rows), "sketches")
@@ -209,26 +250,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tables:
         return df.join(named, column, "left").withColumn(to, F.coalesce(to, column))
 
     placed = written(label(label(buckets, "rep", "own"), "hub", "hubs"), "placed")
-    strays = placed.where("own != hubs")
-    rest = placed.join(strays.select("key").distinct(), "key", "left_semi").where("rep != hub")
-    arms = classes.select("rep", "a", "b", *sketch)
-    x = strays.select("key", "tab", "rep", "n", "own").join(arms, "rep")
-    y = rest.select("key", "rep", "n", "own", (F.col("own") != F.col("hubs")).alias("stray")).join(arms, "rep")
-    x, y = x.select(*(F.col(c).alias(f"x_{c}") for c in x.columns)), y.select(*(F.col(c).alias(f"y_{c}") for c in y.columns))
-    apart = sum((F.bit_count(F.col(f"x_{e}").bitwiseXOR(F.col(f"y_{e}"))) for e in sketch), F.lit(0))
-    i, j = F.floor(F.col("x_tab") / tables).cast("int"), F.pmod(F.col("x_tab"), F.lit(tables)).cast("int")
-    unseen = lambda c, upto: ~F.exists(F.slice(F.arrays_zip(F.col(f"x_{c}").alias("p"), F.col(f"y_{c}").alias("q")), F.lit(1), upto), lambda z: z["p"] == z["q"])
-    cross = x.join(
-        y,
-        (F.col("x_key") == F.col("y_key"))
-        & (F.col("x_own") != F.col("y_own"))
-        & (~F.col("y_stray") | (F.col("x_rep") < F.col("y_rep")))
-        & fits(F.col("x_n"), F.col("y_n"))
-        & (apart <= far_apart(2 * tables * rows, percent))
-        & unseen("a", i)
-        & unseen("b", j),
-    )
-    more = written(confirmed(cross.select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).distinct(), texts, width, percent), "more")
+    more = written(_across(placed, classes, texts, sketch, width, percent, far_apart(2 * tables * rows, percent)), "more")
     bridges = label(label(more, "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     joined = components(bridges).select(F.col("node").alias("c1"), F.col("component").alias("c2"))
 
