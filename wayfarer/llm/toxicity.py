@@ -66,7 +66,8 @@ def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, rank: int = 6,
     if not len(labels) or labels.min() == labels.max():
         p = float(np.clip(labels.mean() if len(labels) else 0.0, 1e-3, 1 - 1e-3))
         return Machine(float(np.log(p / (1 - p))), np.zeros(size, np.float32), np.zeros((size, rank), np.float32), 0.0)
-    term, count = features(pa.array(texts, pa.large_string()))
+    parts = [features(pa.array(texts[lo : lo + 500], pa.large_string())) for lo in range(0, len(texts), 500)]
+    term, count = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
     of = np.repeat(np.arange(len(count)), count)
     df = np.bincount(term, minlength=size)
     toxic = np.bincount(term[labels[of] == 1], minlength=size)
