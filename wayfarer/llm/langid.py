@@ -103,9 +103,9 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(train: DataFrame, fit_rows: int = 1500, centroids: int = 4, slack: float = 0.6) -> Model:
+def fit(train: DataFrame, fit_rows: int = 1000, centroids: int = 4, slack: float = 0.6) -> Model:
     """Learns from columns doc_id, text and lang (not null) of all rows of train."""
-    train = train.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    train = train.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(DIM, np.int64), 0
@@ -122,8 +122,10 @@ def fit(train: DataFrame, fit_rows: int = 1500, centroids: int = 4, slack: float
     idf = (np.log((1 + seen[0]) / (1 + seen[1:])) + 1).astype(np.float32)
     sizes = train.groupBy("lang").count()
     share = sizes.select("lang", (F.lit(float(fit_rows)) / F.col("count")).alias("share"))
-    picked = train.join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("lang", "doc_id", "text")
-    rows = sorted(((r["lang"], r["doc_id"] or 0, r["text"]) for r in picked.collect()))  # about fit_rows for each language
+    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    chosen = train.select("doc_id", "lang").join(share, "lang").where(chance < F.col("share") * (1 << 20)).select("doc_id").distinct()  # ids only: texts aren't dealt out by language
+    picked = train.join(F.broadcast(chosen), "doc_id").select("lang", "doc_id", "text")  # about fit_rows ids for each language
+    rows = sorted(((r["lang"], r["doc_id"], r["text"]) for r in picked.collect()))
     names, cents, own = [], [], []
     model = Model([], idf, np.zeros((0, DIM), np.float32), np.zeros(len(LENGTHS) + 1))
     for lang in sorted({r[0] for r in rows}):

@@ -121,7 +121,7 @@ def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, rank: int = 6,
     return Machine(bias - float(inside + outside) / 2, weights, factors, SCALE)  # 0.5 stands midway between the classes' edges
 
 
-def fit_on_labels(docs: DataFrame, labels: DataFrame, fit_rows: int = 5000) -> Machine:
+def fit_on_labels(docs: DataFrame, labels: DataFrame, fit_rows: int = 2500) -> Machine:
     """Learns from a sample of the labelled documents that aren't held out: about fit_rows of each class."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
