@@ -198,3 +198,22 @@ def test_line_distances(spark):
     assert got["frechet"][0, 1] == pytest.approx(math.sqrt(2))
     with pytest.raises(ValueError):
         distance_matrix(lines.select("id", F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat")), dist_metric="other")
+
+
+def test_matrices_of_all_users(spark):
+    """Every user stands in the matrix, against plain loops over the whole fixture."""
+    from wayfarer.plans import catalog_trips, fixtures
+
+    sf = "/root/testdata/sf0.001"
+    points = {}
+    for r in fixtures.positionfixes(spark, sf).select("user_id", "lon", "lat").collect():
+        points.setdefault(r["user_id"], []).append((r["lon"], r["lat"]))
+    centres = {u: (math.fsum(x for x, _ in p) / len(p), math.fsum(y for _, y in p) / len(p)) for u, p in points.items()}
+
+    def great_circle(a, b):
+        (x1, y1), (x2, y2) = (tuple(map(math.radians, c)) for c in (a, b))
+        return 2 * 6371000 * math.asin(math.sqrt(math.sin((y2 - y1) / 2) ** 2 + math.cos(y1) * math.cos(y2) * math.sin((x2 - x1) / 2) ** 2))
+
+    for run, plain, near in ((catalog_trips.distance_matrix_haversine_users, great_circle, 0.2), (catalog_trips.distance_matrix_euclidean_users, math.dist, 1e-8)):
+        got = {(r["i"], r["j"]): r["distance"] for r in run(spark, sf).collect()}
+        assert got == {(i, j): pytest.approx(plain(centres[i], centres[j]), abs=near) for i in centres for j in centres}

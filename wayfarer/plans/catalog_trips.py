@@ -322,6 +322,26 @@ def distance_matrix_euclidean(spark, sf):
     return distance_matrix(pfs, dist_metric="euclidean").select("i", "j", r6("distance", 9).alias("distance"))
 
 
+def _user_centres(spark, sf):
+    """One row for each user: the mean of all its fixes, whose coordinates are whole ten-thousandths of a degree, so that sums are exact in any order."""
+    mean = lambda c: F.sum(F.round(F.col(c) * 10000).cast("bigint")) / (F.count(F.lit(1)) * 10000)
+    return fx.positionfixes(spark, sf).groupBy(F.col("user_id").alias("id")).agg(mean("lon").alias("lon"), mean("lat").alias("lat"))
+
+
+@query()
+def distance_matrix_haversine_users(spark, sf):
+    """All users against all. No SQL: near 1, the last bit of a cosine moves the arc by centimetres; a test holds it against plain loops."""
+    return distance_matrix(_user_centres(spark, sf)).select("i", "j", r6("distance", 4).alias("distance"))
+
+
+@query(with_sql("pfs", """
+    , centres as (select user_id as id, cast(sum(cast(round(lon * 10000) as bigint)) as double) / (count(*) * 10000) as lon, cast(sum(cast(round(lat * 10000) as bigint)) as double) / (count(*) * 10000) as lat from pfs group by 1)
+    select a.id as i, b.id as j, round(sqrt((b.lon - a.lon) * (b.lon - a.lon) + (b.lat - a.lat) * (b.lat - a.lat)), 9) as distance from centres a, centres b"""))
+def distance_matrix_euclidean_users(spark, sf):
+    """All users against all."""
+    return distance_matrix(_user_centres(spark, sf), dist_metric="euclidean").select("i", "j", r6("distance", 9).alias("distance"))
+
+
 def _lines(metric: str):
     @query(None, f"distance_matrix_{metric}")
     def run(spark, sf):
