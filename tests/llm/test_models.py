@@ -121,6 +121,24 @@ def test_pages(page, text):
     assert main_text(page) == text
 
 
+LONG, LAST = "the river rose for three days before anyone thought to move the boats away from it " * 3, "it fell by sunday"
+ARTICLE = [
+    "<article class='post tag-politics'><h1>T</h1><p>{0}</p><p>{1}</p></article>", "<main class='content has-sidebar'><h1>T</h1><p>{0}</p><p>{1}</p></main>", "<main class='sidebar'><h1>T</h1><p>{0}</p><p>{1}</p></main>",
+    "<article><div class='entry-header'><h1>T</h1></div><p>{0}</p><p>{1}</p></article>", "<div class='layout sidebar'><article><h1>T</h1><p>{0}</p><p>{1}</p></article></div>",
+    "<nav><a href=x>Home</a></nav><div class='single-post comments-open'><h1>T</h1><p>{0}</p><p>{1}</p><p>{0}</p></div><footer>f</footer>",
+    "<article class='post'><h1>T</h1><p>{0}</p><p>{1}</p><div class='share-buttons'>Share</div><ol class='comment-list'><li>so very true</li></ol></article><div class='comments'><article><p>{0}</p></article></div>",
+]
+
+
+@pytest.mark.parametrize("page", ARTICLE)
+def test_marked_articles(page):
+    """A furniture word in a class, or in a part of one, doesn't make an article furniture."""
+    from wayfarer.llm.extraction import main_text
+
+    found = main_text(page.format(LONG, LAST)).split("\n")
+    assert found == ["T", LONG.strip(), LAST] + ([LONG.strip()] if "comments-open" in page else [])
+
+
 def test_extraction_odd(spark):
     from wayfarer.llm.extraction import extract
 

@@ -1,9 +1,10 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
 A page is read once, tag by tag, and becomes a flat list of text blocks (what stands between two block-level tags). Each block
-is described by its own number of words and link density, by those of the blocks before and after it, and by where it stands
-(in page furniture, in an article, or in neither). A decision tree, trained here on the small labelled table below, tells
-article text from the rest; the article's blocks are joined in page order.
+is described by its own number of words and link density, by those of the blocks before and after it that aren't furniture, by
+whether a container's class hints at furniture, and by where it stands (in page furniture, in an article, or in neither). A
+decision tree, trained here on the small labelled table below, tells article text from the rest; the article's blocks are joined
+in page order.
 
 Defined results: null and empty pages, and pages without article text, give an empty text; null and repeated ids pass
 through; extra columns are ignored. Pages cut off anywhere, and tags that are never closed, are read to the end.
@@ -31,33 +32,32 @@ NO_TEXT = frozenset("script style noscript template textarea select button ifram
 FURNITURE = frozenset("nav header footer aside form dialog menu".split())
 CONTAINER = frozenset("article main section div ul ol dl table td li details figure blockquote".split()) | FURNITURE
 #: Words in class or id that mark page furniture, notices, adverts and reader comments.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|sidebar|side|widget|menu|nav\w*|topnav|breadcrumbs?|"
+_WORDS = (
+    r"(?:ads?|adv|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|sidebar|side|widget|menu|nav\w*|topnav|breadcrumbs?|"
     r"header|masthead|footer|foot|copyright|comments?|commentlist|disqus|replies|respond|discussion|share|sharing|social|follow|related|recommend\w*|newsletter|subscri\w+|signup|login|"
-    r"search|form|pagination|pager|tags?|toolbar|skip)(?:$|[\s_-])"
+    r"search|form|pagination|pager|tags?|toolbar|skip)"
 )
+MARKS = re.compile(_WORDS)  # as a whole class
+HINTS = re.compile(rf"(?:^|[_-]){_WORDS}(?:$|[_-])")  # or a part of a hyphenated one, such as entry-header, which says less
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 
 
-def blocks(page: str) -> list[tuple[str, int, int, int]]:
-    """(text, words, words in links, place) of each text block; place: 1 furniture, 2 article, 0 neither."""
-    out: list[tuple[str, int, int, int]] = []
+def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
+    """(text, words, words in links, hint, place) of each text block; hint: 1 if it stands in a container whose class has a part that
+    hints at furniture and which holds less than half of the page's text; place: 1 furniture (3: by class alone), 2 article, 0 neither."""
+    out: list[tuple[str, int, int, tuple, int]] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, int]] = []  # open containers, and 1 for furniture or 2 for an article
-    links, at, end = 0, 0, len(page)
-
-    def place() -> int:
-        kinds = [k for _, k in stack]
-        return 1 if 1 in kinds else 2 if 2 in kinds else 0
+    stack: list[tuple[str, tuple, int]] = []  # open containers, numbers of those that hint, and place
+    links, at, end, articles, hints = 0, 0, len(page), 0, 0
 
     def flush() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, text.count(" ") + 1, len(html.unescape(" ".join(linked)).split()), place()))
+                out.append((text, text.count(" ") + 1, len(html.unescape(" ".join(linked)).split()), *(stack[-1][1:] if stack else ((), 0))))
             parts.clear()
             linked.clear()
 
@@ -108,43 +108,77 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
             flush()
             if tag in CONTAINER:
                 if not closing:
-                    stack.append((tag, _kind(tag, inner, stack)))
+                    within, kind = stack[-1][1:] if stack else ((), 0)
+                    hint, kind = _kind(tag, inner, kind, articles == 0)
+                    stack.append((tag, (*within, hints) if hint else within, kind))
+                    hints += hint
+                    articles += tag in ("article", "main")
                 else:
                     for k in range(len(stack) - 1, -1, -1):
                         if stack[k][0] == tag:
                             del stack[k:]
                             break
     flush()
-    return out
-
-
-def _kind(tag: str, inner: str, stack: list[tuple[str, int]]) -> int:
-    in_article = any(k == 2 for _, k in stack)
-    if tag in FURNITURE and not (tag == "header" and in_article):
-        return 1
-    for m in _ATTRIBUTE.finditer(inner):
-        value = (m[2] or m[3] or m[4] or "").lower()
-        if (m[1].lower() == "role" and value in _ROLES) or (m[1].lower() != "role" and MARKS.search(value)):
-            return 1
-    return 2 if tag in ("article", "main") else 0
-
-
-def describe(found: list[tuple[str, int, int, int]]) -> np.ndarray:
-    """Rows of: words, link density, both of the block before, both of the block after, place."""
-    own = np.array([(n, min(1.0, a / n)) for _, n, a, _ in found], float).reshape(-1, 2)
-    edge = np.zeros((1, 2))
-    return np.hstack([own, np.vstack([edge, own])[:-1], np.vstack([own, edge])[1:], np.array([[p] for *_, p in found], float).reshape(-1, 1)])
-
-
-#: The labelled blocks: words, link density, then the same of the block before and after, place, and whether it is article text.
+    held = [0] * hints
+    for _, n, a, within, kind in out:
+        if kind in (0, 2):
+            for h in within:
+                held[h] += n - min(a, n)
+    half = sum(n - min(a, n) for _, n, a, _, kind in out if kind in (0, 2)) / 2
+    return [(text, n, a, int(any(held[h] < half for h in within)), kind) for text, n, a, within, kind in out]
+
+
+def _kind(tag: str, inner: str, place: int, first: bool) -> tuple[int, int]:
+    """Whether a container that opens hints at furniture, and the place within it. Furniture by tag or role holds for all in it; by class
+    alone it ends at main and at the page's first article (later ones may be comments or teasers)."""
+    if place == 1 or (tag in FURNITURE and not (tag == "header" and place == 2)):
+        return 0, 1
+    values = [(m[1].lower(), (m[2] or m[3] or m[4] or "").lower()) for m in _ATTRIBUTE.finditer(inner)]
+    if any(name == "role" and value in _ROLES for name, value in values):
+        return 0, 1
+    if tag == "main" or (tag == "article" and (first or place != 3)):
+        return 0, 2
+    classes = [v for name, value in values if name != "role" for v in value.split() if not (place == 2 and v == "header")]  # an article's own header
+    if place == 3 or any(MARKS.fullmatch(v) for v in classes):
+        return 0, 3
+    return int(any(HINTS.search(v) for v in classes)), place
+
+
+def describe(found: list[tuple[str, int, int, int, int]]) -> np.ndarray:
+    """Rows of: words, link density, both of the block before, both of the block after (blocks of furniture aside), hint, place."""
+    own = np.array([(n, min(1.0, a / n)) for _, n, a, *_ in found], float).reshape(-1, 2)
+    where = np.array([(h, 1 if p == 3 else p) for *_, h, p in found], float).reshape(-1, 2)
+    rest, edge = np.flatnonzero(where[:, 1] != 1), np.zeros((1, 2))
+    before, after = np.zeros_like(own), np.zeros_like(own)
+    before[rest], after[rest] = np.vstack([edge, own[rest]])[:-1], np.vstack([own[rest], edge])[1:]
+    return np.hstack([own, before, after, where])
+
+
+#: The labelled blocks: words, link density, then the same of the block before and after, hint, place, and whether it is article text.
 LABELLED = [
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0), (2, 1.0, 1, 1.0, 14, 0.0, 1, 0), (14, 0.0, 2, 1.0, 9, 0.0, 1, 0), (8, 0.0, 1, 1.0, 60, 0.0, 1, 0), (40, 0.05, 3, 1.0, 80, 0.0, 1, 0),
-    (9, 0.0, 50, 0.0, 0, 0.0, 1, 0), (12, 0.2, 35, 0.0, 0, 0.0, 1, 0), (25, 0.1, 8, 0.0, 30, 0.0, 1, 0), (60, 0.0, 30, 0.0, 45, 0.0, 1, 0), (110, 0.0, 90, 0.0, 3, 0.0, 1, 0), (5, 0.4, 70, 0.0, 2, 1.0, 1, 0),
-    (9, 0.0, 14, 0.0, 70, 0.0, 2, 1), (70, 0.0, 9, 0.0, 45, 0.0, 2, 1), (45, 0.02, 70, 0.0, 3, 0.0, 2, 1), (3, 0.0, 45, 0.0, 1, 0.0, 2, 1), (1, 0.0, 3, 0.0, 60, 0.0, 2, 1), (300, 0.01, 1, 0.0, 9, 0.0, 2, 1),
-    (25, 0.3, 60, 0.0, 80, 0.0, 2, 1), (4, 0.0, 80, 0.1, 80, 0.0, 2, 1), (12, 0.1, 0, 0.0, 30, 0.0, 2, 1), (2, 0.0, 8, 0.0, 9, 0.2, 2, 1), (6, 1.0, 40, 0.0, 8, 1.0, 2, 0), (8, 1.0, 6, 1.0, 9, 0.0, 2, 0), (3, 1.0, 8, 1.0, 3, 1.0, 2, 0),
-    (80, 0.0, 12, 0.0, 95, 0.0, 0, 1), (95, 0.03, 80, 0.0, 20, 0.0, 0, 1), (20, 0.0, 95, 0.0, 70, 0.0, 0, 1), (35, 0.1, 60, 0.0, 8, 0.5, 0, 1), (18, 0.0, 40, 0.0, 44, 0.0, 0, 1), (7, 0.0, 3, 1.0, 80, 0.0, 0, 1),
-    (6, 0.0, 2, 1.0, 2, 1.0, 0, 0), (3, 0.0, 4, 1.0, 5, 0.8, 0, 0), (4, 1.0, 3, 0.9, 70, 0.0, 0, 0), (15, 0.8, 4, 1.0, 12, 0.9, 0, 0), (30, 0.6, 15, 0.8, 10, 0.7, 0, 0), (8, 0.0, 50, 0.0, 0, 0.0, 0, 0), (2, 0.0, 0, 0.0, 3, 1.0, 0, 0),
-    (40, 0.0, 60, 0.0, 3, 1.0, 2, 1), (12, 0.0, 45, 0.0, 1, 1.0, 2, 1), (1, 0.0, 20, 0.0, 2, 1.0, 2, 1), (90, 0.02, 70, 0.0, 4, 1.0, 2, 1), (50, 0.0, 60, 0.0, 4, 1.0, 0, 1), (75, 0.0, 2, 1.0, 3, 1.0, 0, 1), (9, 0.0, 6, 1.0, 40, 0.0, 2, 1),
+    (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0), (2, 1.0, 1, 1.0, 14, 0.0, 0, 1, 0), (14, 0.0, 2, 1.0, 9, 0.0, 0, 1, 0), (8, 0.0, 1, 1.0, 60, 0.0, 0, 1, 0), (40, 0.05, 3, 1.0, 80, 0.0, 0, 1, 0),
+    (9, 0.0, 50, 0.0, 0, 0.0, 0, 1, 0), (12, 0.2, 35, 0.0, 0, 0.0, 0, 1, 0), (25, 0.1, 8, 0.0, 30, 0.0, 0, 1, 0), (60, 0.0, 30, 0.0, 45, 0.0, 0, 1, 0), (110, 0.0, 90, 0.0, 3, 0.0, 0, 1, 0), (5, 0.4, 70, 0.0, 2, 1.0, 0, 1, 0),
+    (9, 0.0, 14, 0.0, 70, 0.0, 0, 2, 1), (70, 0.0, 9, 0.0, 45, 0.0, 0, 2, 1), (45, 0.02, 70, 0.0, 3, 0.0, 0, 2, 1), (3, 0.0, 45, 0.0, 1, 0.0, 0, 2, 1), (1, 0.0, 3, 0.0, 60, 0.0, 0, 2, 1), (300, 0.01, 1, 0.0, 9, 0.0, 0, 2, 1),
+    (25, 0.3, 60, 0.0, 80, 0.0, 0, 2, 1), (4, 0.0, 80, 0.1, 80, 0.0, 0, 2, 1), (12, 0.1, 0, 0.0, 30, 0.0, 0, 2, 1), (2, 0.0, 8, 0.0, 9, 0.2, 0, 2, 1), (6, 1.0, 40, 0.0, 8, 1.0, 0, 2, 0), (8, 1.0, 6, 1.0, 9, 0.0, 0, 2, 0), (3, 1.0, 8, 1.0, 3, 1.0, 0, 2, 0),
+    (80, 0.0, 12, 0.0, 95, 0.0, 0, 0, 1), (95, 0.03, 80, 0.0, 20, 0.0, 0, 0, 1), (20, 0.0, 95, 0.0, 70, 0.0, 0, 0, 1), (35, 0.1, 60, 0.0, 8, 0.5, 0, 0, 1), (18, 0.0, 40, 0.0, 44, 0.0, 0, 0, 1), (7, 0.0, 3, 1.0, 80, 0.0, 0, 0, 1),
+    (6, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0), (3, 0.0, 4, 1.0, 5, 0.8, 0, 0, 0), (4, 1.0, 3, 0.9, 70, 0.0, 0, 0, 0), (15, 0.8, 4, 1.0, 12, 0.9, 0, 0, 0), (30, 0.6, 15, 0.8, 10, 0.7, 0, 0, 0), (8, 0.0, 50, 0.0, 0, 0.0, 0, 0, 0), (2, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0),
+    (40, 0.0, 60, 0.0, 3, 1.0, 0, 2, 1), (12, 0.0, 45, 0.0, 1, 1.0, 0, 2, 1), (1, 0.0, 20, 0.0, 2, 1.0, 0, 2, 1), (90, 0.02, 70, 0.0, 4, 1.0, 0, 2, 1), (50, 0.0, 60, 0.0, 4, 1.0, 0, 0, 1), (75, 0.0, 2, 1.0, 3, 1.0, 0, 0, 1), (9, 0.0, 6, 1.0, 40, 0.0, 0, 2, 1),
+    (2, 0.0, 3, 1.0, 57, 0.0, 0, 0, 1), (4, 0.0, 0, 0.0, 45, 0.0, 0, 0, 1), (5, 0.0, 57, 0.0, 38, 0.0, 0, 0, 1), (3, 0.0, 40, 0.0, 30, 0.0, 0, 0, 1), (38, 0.0, 5, 0.0, 1, 0.0, 0, 0, 1), (60, 0.0, 20, 0.0, 0, 0.0, 0, 0, 1), (25, 0.05, 30, 0.0, 0, 0.0, 0, 0, 1), (30, 0.0, 12, 0.0, 2, 1.0, 0, 0, 1), (200, 0.02, 0, 0.0, 0, 0.0, 0, 0, 1), (12, 0.0, 4, 0.0, 5, 0.0, 0, 0, 0), (3, 0.0, 57, 0.0, 4, 0.0, 0, 0, 0), (10, 0.0, 60, 0.0, 1, 0.0, 0, 0, 0), (6, 0.0, 6, 0.0, 3, 0.0, 0, 0, 0), (9, 0.0, 3, 1.0, 2, 0.0, 0, 0, 0),
+    (7, 0.0, 3, 1.0, 60, 0.0, 1, 2, 1), (5, 0.0, 12, 0.0, 60, 0.0, 1, 2, 1), (2, 0.0, 2, 1.0, 30, 0.0, 1, 2, 1), (5, 0.0, 0, 0.0, 40, 0.0, 1, 2, 1), (50, 0.0, 6, 0.0, 70, 0.0, 1, 2, 1), (14, 0.05, 5, 0.0, 45, 0.0, 1, 2, 1), (1, 0.0, 38, 0.0, 0, 0.0, 1, 2, 0), (3, 0.0, 60, 0.0, 2, 0.0, 1, 2, 0), (10, 0.0, 45, 0.0, 6, 0.0, 1, 2, 0), (20, 0.0, 4, 0.0, 25, 0.0, 1, 2, 0), (25, 0.0, 20, 0.0, 2, 0.0, 1, 2, 0), (60, 0.0, 3, 0.0, 24, 0.0, 1, 2, 0), (80, 0.0, 25, 0.0, 3, 0.0, 1, 2, 0), (4, 0.0, 60, 0.0, 20, 0.0, 1, 2, 0), (12, 0.0, 60, 0.0, 0, 0.0, 1, 2, 0), (3, 1.0, 60, 0.0, 70, 0.0, 1, 2, 0),
+    (7, 0.0, 3, 1.0, 60, 0.0, 1, 0, 1), (5, 0.0, 12, 0.0, 60, 0.0, 1, 0, 1), (2, 0.0, 2, 1.0, 30, 0.0, 1, 0, 1), (5, 0.0, 0, 0.0, 40, 0.0, 1, 0, 1), (50, 0.0, 6, 0.0, 70, 0.0, 1, 0, 1), (14, 0.05, 5, 0.0, 45, 0.0, 1, 0, 1), (1, 0.0, 38, 0.0, 0, 0.0, 1, 0, 0), (3, 0.0, 60, 0.0, 2, 0.0, 1, 0, 0), (10, 0.0, 45, 0.0, 6, 0.0, 1, 0, 0), (20, 0.0, 4, 0.0, 25, 0.0, 1, 0, 0), (25, 0.0, 20, 0.0, 2, 0.0, 1, 0, 0), (60, 0.0, 3, 0.0, 24, 0.0, 1, 0, 0), (80, 0.0, 25, 0.0, 3, 0.0, 1, 0, 0), (4, 0.0, 60, 0.0, 20, 0.0, 1, 0, 0), (12, 0.0, 60, 0.0, 0, 0.0, 1, 0, 0), (3, 1.0, 60, 0.0, 70, 0.0, 1, 0, 0),
+    (1, 0.0, 38, 0.0, 0, 0.0, 0, 1, 0), (2, 0.0, 0, 0.0, 3, 1.0, 0, 1, 0), (2, 0.0, 2, 1.0, 30, 0.0, 0, 1, 0), (2, 0.0, 3, 1.0, 57, 0.0, 0, 1, 0), (3, 0.0, 4, 1.0, 5, 0.8, 0, 1, 0), (3, 0.0, 40, 0.0, 30, 0.0, 0, 1, 0), (3, 0.0, 57, 0.0, 4, 0.0, 0, 1, 0),
+    (3, 0.0, 60, 0.0, 2, 0.0, 0, 1, 0), (3, 1.0, 60, 0.0, 70, 0.0, 0, 1, 0), (4, 0.0, 0, 0.0, 45, 0.0, 0, 1, 0), (4, 0.0, 60, 0.0, 20, 0.0, 0, 1, 0), (4, 1.0, 3, 0.9, 70, 0.0, 0, 1, 0), (5, 0.0, 0, 0.0, 40, 0.0, 0, 1, 0), (5, 0.0, 12, 0.0, 60, 0.0, 0, 1, 0),
+    (5, 0.0, 57, 0.0, 38, 0.0, 0, 1, 0), (6, 0.0, 2, 1.0, 2, 1.0, 0, 1, 0), (6, 0.0, 6, 0.0, 3, 0.0, 0, 1, 0), (7, 0.0, 3, 1.0, 60, 0.0, 0, 1, 0), (7, 0.0, 3, 1.0, 80, 0.0, 0, 1, 0), (8, 0.0, 50, 0.0, 0, 0.0, 0, 1, 0), (9, 0.0, 3, 1.0, 2, 0.0, 0, 1, 0),
+    (10, 0.0, 45, 0.0, 6, 0.0, 0, 1, 0), (10, 0.0, 60, 0.0, 1, 0.0, 0, 1, 0), (12, 0.0, 4, 0.0, 5, 0.0, 0, 1, 0), (12, 0.0, 60, 0.0, 0, 0.0, 0, 1, 0), (14, 0.05, 5, 0.0, 45, 0.0, 0, 1, 0), (15, 0.8, 4, 1.0, 12, 0.9, 0, 1, 0), (18, 0.0, 40, 0.0, 44, 0.0, 0, 1, 0),
+    (20, 0.0, 4, 0.0, 25, 0.0, 0, 1, 0), (20, 0.0, 95, 0.0, 70, 0.0, 0, 1, 0), (25, 0.0, 20, 0.0, 2, 0.0, 0, 1, 0), (25, 0.05, 30, 0.0, 0, 0.0, 0, 1, 0), (30, 0.0, 12, 0.0, 2, 1.0, 0, 1, 0), (30, 0.6, 15, 0.8, 10, 0.7, 0, 1, 0), (35, 0.1, 60, 0.0, 8, 0.5, 0, 1, 0),
+    (38, 0.0, 5, 0.0, 1, 0.0, 0, 1, 0), (50, 0.0, 6, 0.0, 70, 0.0, 0, 1, 0), (50, 0.0, 60, 0.0, 4, 1.0, 0, 1, 0), (60, 0.0, 3, 0.0, 24, 0.0, 0, 1, 0), (60, 0.0, 20, 0.0, 0, 0.0, 0, 1, 0), (75, 0.0, 2, 1.0, 3, 1.0, 0, 1, 0), (80, 0.0, 12, 0.0, 95, 0.0, 0, 1, 0),
+    (80, 0.0, 25, 0.0, 3, 0.0, 0, 1, 0), (95, 0.03, 80, 0.0, 20, 0.0, 0, 1, 0), (200, 0.02, 0, 0.0, 0, 0.0, 0, 1, 0), (1, 0.0, 38, 0.0, 0, 0.0, 0, 2, 1), (2, 0.0, 0, 0.0, 3, 1.0, 0, 2, 1), (2, 0.0, 2, 1.0, 30, 0.0, 0, 2, 1), (2, 0.0, 3, 1.0, 57, 0.0, 0, 2, 1),
+    (3, 0.0, 4, 1.0, 5, 0.8, 0, 2, 1), (3, 0.0, 40, 0.0, 30, 0.0, 0, 2, 1), (3, 0.0, 57, 0.0, 4, 0.0, 0, 2, 1), (3, 0.0, 60, 0.0, 2, 0.0, 0, 2, 1), (3, 1.0, 60, 0.0, 70, 0.0, 0, 2, 0), (4, 0.0, 0, 0.0, 45, 0.0, 0, 2, 1), (4, 0.0, 60, 0.0, 20, 0.0, 0, 2, 1),
+    (4, 1.0, 3, 0.9, 70, 0.0, 0, 2, 0), (5, 0.0, 0, 0.0, 40, 0.0, 0, 2, 1), (5, 0.0, 12, 0.0, 60, 0.0, 0, 2, 1), (5, 0.0, 57, 0.0, 38, 0.0, 0, 2, 1), (6, 0.0, 2, 1.0, 2, 1.0, 0, 2, 1), (6, 0.0, 6, 0.0, 3, 0.0, 0, 2, 1), (7, 0.0, 3, 1.0, 60, 0.0, 0, 2, 1),
+    (7, 0.0, 3, 1.0, 80, 0.0, 0, 2, 1), (8, 0.0, 50, 0.0, 0, 0.0, 0, 2, 1), (9, 0.0, 3, 1.0, 2, 0.0, 0, 2, 1), (10, 0.0, 45, 0.0, 6, 0.0, 0, 2, 1), (10, 0.0, 60, 0.0, 1, 0.0, 0, 2, 1), (12, 0.0, 4, 0.0, 5, 0.0, 0, 2, 1), (12, 0.0, 60, 0.0, 0, 0.0, 0, 2, 1),
+    (14, 0.05, 5, 0.0, 45, 0.0, 0, 2, 1), (15, 0.8, 4, 1.0, 12, 0.9, 0, 2, 0), (18, 0.0, 40, 0.0, 44, 0.0, 0, 2, 1), (20, 0.0, 4, 0.0, 25, 0.0, 0, 2, 1), (20, 0.0, 95, 0.0, 70, 0.0, 0, 2, 1), (25, 0.0, 20, 0.0, 2, 0.0, 0, 2, 1), (25, 0.05, 30, 0.0, 0, 0.0, 0, 2, 1),
+    (30, 0.0, 12, 0.0, 2, 1.0, 0, 2, 1), (30, 0.6, 15, 0.8, 10, 0.7, 0, 2, 0), (35, 0.1, 60, 0.0, 8, 0.5, 0, 2, 1), (38, 0.0, 5, 0.0, 1, 0.0, 0, 2, 1), (50, 0.0, 6, 0.0, 70, 0.0, 0, 2, 1), (50, 0.0, 60, 0.0, 4, 1.0, 0, 2, 1), (60, 0.0, 3, 0.0, 24, 0.0, 0, 2, 1),
+    (60, 0.0, 20, 0.0, 0, 0.0, 0, 2, 1), (75, 0.0, 2, 1.0, 3, 1.0, 0, 2, 1), (80, 0.0, 12, 0.0, 95, 0.0, 0, 2, 1), (80, 0.0, 25, 0.0, 3, 0.0, 0, 2, 1), (95, 0.03, 80, 0.0, 20, 0.0, 0, 2, 1), (200, 0.02, 0, 0.0, 0, 0.0, 0, 2, 1),
 ]
 
 
@@ -170,7 +204,7 @@ def tree() -> tuple:
         _, f, cut, low = best
         return f, cut, grow(rows[low], depth - 1), grow(rows[~low], depth - 1)
 
-    return grow(table, 5)
+    return grow(table, 7)
 
 
 def classify(x: np.ndarray) -> np.ndarray:
