@@ -139,6 +139,31 @@ def test_marked_articles(page):
     assert found == ["T", LONG.strip(), LAST] + ([LONG.strip()] if "comments-open" in page else [])
 
 
+TAGS = [
+    '<p data-x="' + "<b>x</b>" * 20 + '">kept</p>', "<p title='a > b'>kept</p>", "<p onclick='if (a > b) { say(\"<p>no</p>\") }' class=x>kept</p>", '<p title="it\'s > that">kept</p>', "<p title=it's>kept</p>", "<p a = '>' b='>'>kept</p>",
+    "<p a=>kept</p>", '<p "x>kept</p>', '<p title="never closed>kept</p>', "<a href=/x?y='z'>kept</a>", "<div data-x=' class=ad ' data-y=ad>kept</div>", "<p>kept<br/></p>", "<p a='1'b=\"2>3\">kept</p>",
+]
+
+
+@pytest.mark.parametrize("tag", TAGS)
+def test_quoted_signs(tag):
+    """Signs within quotes, however many, belong to the attribute."""
+    from wayfarer.llm.extraction import blocks
+
+    assert [t for t, *_, place in blocks(f"<article>{tag}</article>") if place == 2] == ["kept"]
+
+
+def test_linear_scan():
+    import time
+
+    from wayfarer.llm.extraction import blocks
+
+    for page in ("<p a='" * 40_000, '<p a="' + "<p b=x>" * 40_000, "<p a=\"'>" * 40_000, "<p " + "a = " * 100_000, "<p " + "/" * 200_000):
+        began = time.perf_counter()
+        blocks(page)
+        assert time.perf_counter() - began < 5
+
+
 def test_extraction_odd(spark):
     from wayfarer.llm.extraction import extract
 

@@ -39,7 +39,10 @@ _WORDS = (
 )
 MARKS = re.compile(_WORDS)  # as a whole class
 HINTS = re.compile(rf"(?:^|[_-]){_WORDS}(?:$|[_-])")  # or a part of a hyphenated one, such as entry-header, which says less
-_ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+#: An attribute as HTML reads it: its value stands in double or single quotes or in none; a quote that never closes is a plain character.
+#: Nothing is tried twice, and after a quote that never closes no other of its kind is left, so a page is read in linear time.
+_ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+))?+)?+""")
+_REST = re.compile(rf"(?>[\s/]++|{_ATTRIBUTE.pattern})*+>")  # of a tag, after its name
 _NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 
@@ -87,15 +90,10 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
                 at = lt + 1
             continue
         tag, closing = name[1].lower(), page[lt + 1] == "/"
-        stop = page.find(">", name.end())
-        for _ in range(8):  # a > inside quotes
-            inner = page[name.end() : stop]
-            if stop < 0 or not ('"' in inner or "'" in inner) or not (re.sub(r"\"[^\"]*\"|'[^']*'", "", inner).count('"')):
-                break
-            stop = page.find(">", stop + 1)
-        if stop < 0:
+        rest = _REST.match(page, name.end())
+        if rest is None:
             break  # cut off within a tag
-        inner, at = page[name.end() : stop], stop + 1
+        inner, at = page[name.end() : rest.end() - 1], rest.end()
         if tag in NO_TEXT and not closing and not inner.endswith("/"):
             close = re.compile(rf"</{tag}\b[^>]*>?", re.IGNORECASE).search(page, at)
             at = end if close is None else close.end()
@@ -133,7 +131,7 @@ def _kind(tag: str, inner: str, place: int, first: bool) -> tuple[int, int]:
     alone it ends at main and at the page's first article (later ones may be comments or teasers)."""
     if place == 1 or (tag in FURNITURE and not (tag == "header" and place == 2)):
         return 0, 1
-    values = [(m[1].lower(), (m[2] or m[3] or m[4] or "").lower()) for m in _ATTRIBUTE.finditer(inner)]
+    values = [(m[1].lower(), (m[2] or m[3] or m[4] or "").lower()) for m in _ATTRIBUTE.finditer(inner) if m[1].lower() in ("class", "id", "role")]
     if any(name == "role" and value in _ROLES for name, value in values):
         return 0, 1
     if tag == "main" or (tag == "article" and (first or place != 3)):
