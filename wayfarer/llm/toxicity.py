@@ -3,7 +3,8 @@
 The logit of a text is a bias, a weight for each of its distinct terms, and the product of two terms' factor vectors for each
 pair of its terms, so that a pair such as an insult and the mention of a group can count for more than the two alone. Terms
 are runs of letters and digits, hashed. The machine is fitted by AdaGrad on a bounded sample of labelled texts
-(fit_rows of each class, weighted by the classes' true sizes).
+(fit_rows of each class, weighted by the classes' true sizes), for terms that are frequent or telling by themselves; on top of
+that, all terms but the rarest have factors of a second kind, for pairs of terms that tell nothing alone.
 
 Defined results: null and empty texts have no term and get the bias alone; null ids and repeated rows pass through; without
 labels of both classes the score is the share of toxic labels, and next to 0 without any label, as nothing then speaks
@@ -13,7 +14,7 @@ against a text. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,38 +35,49 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return key & ((1 << BITS) - 1), np.bincount(key >> BITS, minlength=len(count)).astype(np.int64)
 
 
+def _pairs(v: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The products of all pairs of rows' vectors, summed from each start to the next."""
+    total, squares = np.add.reduceat(v, at, axis=0), np.add.reduceat((v * v).sum(1), at)
+    return ((total * total).sum(1) - squares) / 2
+
+
 @dataclass(frozen=True)
 class Machine:
     bias: float
     weights: np.ndarray
     factors: np.ndarray
     scale: float  #: of the pairs
+    weak: np.ndarray  #: factors of all terms but the rarest, for pairs that neither term's frequency nor its own signal tells of
 
     def logits(self, term: np.ndarray, count: np.ndarray) -> np.ndarray:
-        out = np.full(len(count), self.bias)
-        full = np.flatnonzero(count)
-        if len(full):
-            at = (np.cumsum(count) - count)[full]
-            v = self.factors[term]
-            total = np.add.reduceat(v, at, axis=0)
-            squares = np.add.reduceat((v * v).sum(1), at)
-            out[full] += np.add.reduceat(self.weights[term], at) + self.scale * ((total * total).sum(1) - squares) / 2
+        out, full = np.full(len(count), self.bias), np.flatnonzero(count)
+        ends = np.cumsum(count[full])
+        lo = 0
+        while lo < len(full):  # about 100,000 terms at a time, so that memory doesn't follow the rows
+            first = int(ends[lo] - count[full[lo]])
+            hi = max(lo + 1, int(np.searchsorted(ends, first + 100_000, "right")))
+            rows, t = full[lo:hi], term[first : int(ends[hi - 1])]
+            n = count[rows]
+            at = np.cumsum(n) - n
+            out[rows] += np.add.reduceat(self.weights[t], at) + self.scale * (_pairs(self.factors[t], at) + _pairs(self.weak[t], at) / n)
+            lo = hi
         return out
 
     def score(self, column: pa.Array) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(*features(column)), -30, 30)))
 
 
-def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, rank: int = 6, epochs: int = 15, rate: float = 0.2, batch: int = 64, decay: float = 1e-3, common: float = 0.1, telling: float = 4.0, seed: int = 7) -> Machine:
+def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, rank: int = 6, epochs: int = 15, rate: float = 0.2, batch: int = 64, decay: float = 1e-3, common: float = 0.1, telling: float = 4.0, seed: int = 7, least: int = 5, shrink: float = 2.0) -> Machine:
     """Weighted logistic loss, AdaGrad over the terms that are common (that share of the texts has them) or
-    telling (the two classes' shares differ by that many standard errors); the others, too rare to learn from, keep weight 0.
+    telling (the two classes' shares differ by that many standard errors); the others keep weight 0. Then fit_weak gives factors to
+    every term that at least `least` texts have.
 
     A term's value is its inverse document frequency in the sample, scaled to 1 at most, so that the commonest words, which
     stand in nearly all texts, can't drown the telling ones. It is folded into the term's weight and factors at the end."""
     size = 1 << BITS
     if not len(labels) or labels.min() == labels.max():
         p = float(np.clip(labels.mean() if len(labels) else 0.0, 1e-3, 1 - 1e-3))
-        return Machine(float(np.log(p / (1 - p))), np.zeros(size, np.float32), np.zeros((size, rank), np.float32), 0.0)
+        return Machine(float(np.log(p / (1 - p))), np.zeros(size, np.float32), np.zeros((size, rank), np.float32), 0.0, np.zeros((size, rank), np.float32))
     parts = [features(pa.array(texts[lo : lo + 500], pa.large_string())) for lo in range(0, len(texts), 500)]
     term, count = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
     of = np.repeat(np.arange(len(count)), count)
@@ -115,10 +127,45 @@ def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, rank: int = 6,
             v[touched] -= rate / 4 * gv / np.sqrt(sum_v[touched])
     weights, factors = np.zeros(size, np.float32), np.zeros((size, rank), np.float32)
     weights[used], factors[used] = w * value, v * value[:, None]
-    machine = Machine(bias, weights, factors, SCALE)
+    machine = Machine(bias, weights, factors, SCALE, np.zeros((size, rank), np.float32))
+    weak = fit_weak(machine.logits(all_terms, all_count), all_terms, all_count, df >= least, labels, weight, rank, shrink, rng)
+    machine = replace(machine, weak=weak)
     logit = machine.logits(all_terms, all_count)
     inside, outside = np.quantile(logit[labels == 1], 0.02), np.quantile(logit[labels == 0], 0.999)
-    return Machine(bias - float(inside + outside) / 2, weights, factors, SCALE)  # 0.5 stands midway between the classes' edges
+    return replace(machine, bias=bias - float(inside + outside) / 2)  # 0.5 stands midway between the classes' edges
+
+
+def fit_weak(logit: np.ndarray, term: np.ndarray, count: np.ndarray, known: np.ndarray, labels: np.ndarray, weight: np.ndarray, rank: int, shrink: float, rng: np.random.Generator, steps: int = 80) -> np.ndarray:
+    """Factors, on top of the given logits, of all known terms, by descent over the whole sample. A text's pairs count for 1 in all,
+    and decay is the same for every term, so that a pair must stand in some texts of one class more than of the other to grow from its
+    small start, and the noise of rare terms and long texts shrinks to nothing."""
+    used = np.flatnonzero(known)
+    number = np.full(len(known), -1, np.int64)
+    number[used] = np.arange(len(used))
+    keep = number[term] >= 0
+    d, t = np.repeat(np.arange(len(count)), count)[keep], number[term[keep]]
+    per = 1 / np.maximum(count, 1)
+
+    def loss(v: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        total = np.stack([np.bincount(d, v[t, f], len(count)) for f in range(rank)], 1)
+        z = logit + SCALE * per * ((total * total).sum(1) - np.bincount(d, (v * v).sum(1)[t], len(count))) / 2
+        return float((weight * (np.logaddexp(0, z) - labels * z)).sum() + shrink / 2 * (v * v).sum()), z, total
+
+    v = rng.normal(0, 0.03, (len(used), rank))
+    (now, z, total), rate = loss(v), 0.1
+    for _ in range(steps):
+        g = SCALE * per * weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels)
+        own = np.bincount(t, g[d], len(used))
+        step = np.stack([np.bincount(t, (g * total[:, f])[d], len(used)) for f in range(rank)], 1) - own[:, None] * v + shrink * v
+        ahead = v - rate * step
+        got = loss(ahead)
+        if got[0] <= now:
+            v, (now, z, total), rate = ahead, got, rate * 1.3
+        else:
+            rate /= 3
+    weak = np.zeros((len(known), rank), np.float32)
+    weak[used] = v
+    return weak
 
 
 def fit_on_labels(docs: DataFrame, labels: DataFrame, fit_rows: int = 2500) -> Machine:
@@ -141,14 +188,14 @@ SCHEMA = "doc_id bigint, score double, predicted int"
 
 def toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
     """One row per document: doc_id, score and predicted."""
-    used = np.flatnonzero((machine.weights != 0) | (machine.factors != 0).any(1)).astype(np.int32)
-    parts = docs.sparkSession.sparkContext.broadcast((machine.bias, used, machine.weights[used], machine.factors[used], machine.scale))  # 2**BITS terms at most
+    used = np.flatnonzero((machine.weights != 0) | (machine.factors != 0).any(1) | (machine.weak != 0).any(1)).astype(np.int32)
+    parts = docs.sparkSession.sparkContext.broadcast((machine.bias, used, machine.weights[used], machine.factors[used], machine.scale, machine.weak[used]))  # 2**BITS terms at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bias, at, w, v, scale = parts.value
-        weights, factors = np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, v.shape[1]), np.float32)
-        weights[at], factors[at] = w, v
-        m = Machine(bias, weights, factors, scale)
+        bias, at, w, v, scale, u = parts.value
+        weights, factors, weak = np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, v.shape[1]), np.float32), np.zeros((1 << BITS, u.shape[1]), np.float32)
+        weights[at], factors[at], weak[at] = w, v, u
+        m = Machine(bias, weights, factors, scale, weak)
         for b in slices(batches, 4_000_000):
             s = m.score(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
