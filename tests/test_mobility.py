@@ -190,6 +190,15 @@ def test_spatial(spark):
     assert got == {"within": [0], "intersects": [0, 1, 2], "crosses": [1, 2]}
 
 
+def test_adjoining_areas(spark):
+    """A line from one area into the next stays within their union."""
+    box = lambda x0, x1: [[(x0, 0.0), (x1, 0.0), (x1, 4.0), (x0, 4.0), (x0, 0.0)]]
+    line = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    lines = spark.createDataFrame([(0, line((1, 1), (5, 3))), (1, line((1, 1), (5, 3), (9, 3))), (2, line((1, 2), (11, 2))), (3, line((4, 2), (5, 2)))], "id long, geom array<struct<x:double,y:double>>")
+    got = {m: sorted(r["id"] for r in spatial_filter(lines, [box(0.0, 3.1), box(3.1, 6.0), box(10.0, 12.0)], m).collect()) for m in ("within", "intersects", "crosses")}
+    assert got == {"within": [0, 3], "intersects": [0, 1, 2, 3], "crosses": [1, 2]}
+
+
 def test_line_distances(spark):
     line = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
     lines = spark.createDataFrame([(0, line((0, 0), (1, 0), (2, 0))), (1, line((0, 1), (2, 1)))], "id long, geom array<struct<x:double,y:double>>")

@@ -128,12 +128,12 @@ def inside(x: np.ndarray, y: np.ndarray, rings: list[np.ndarray]) -> tuple[np.nd
     return odd & ~edge, edge
 
 
-def line_in_area(line: np.ndarray, rings: list[np.ndarray]) -> tuple[bool, bool]:
-    """(some part of the line is in the area's interior, some part is outside the area): the line is cut at the boundary."""
+def line_in_areas(line: np.ndarray, polygons: list[list[np.ndarray]]) -> tuple[bool, bool]:
+    """(some part of the line is in an area's interior, some part is outside of all areas): the line is cut at all their boundaries."""
     cuts = []
     for p, q in zip(line[:-1], line[1:], strict=True):
         t = [0.0, 1.0]
-        for ring in rings:
+        for ring in (r for rings in polygons for r in rings):
             a, b = ring[:-1], ring[1:]
             d, e = q - p, b - a
             den = d[0] * e[:, 1] - d[1] * e[:, 0]
@@ -142,10 +142,14 @@ def line_in_area(line: np.ndarray, rings: list[np.ndarray]) -> tuple[bool, bool]
                 u = ((a[:, 0] - p[0]) * d[1] - (a[:, 1] - p[1]) * d[0]) / den
             t += s[(den != 0) & (s > 0) & (s < 1) & (u >= 0) & (u <= 1)].tolist()
         t = np.unique(t)
-        mid = (t[1:] + t[:-1]) / 2
+        mid = ((t[1:] + t[:-1]) / 2)[np.diff(t) > 1e-12]  # a border that two areas share is cut once
         cuts.append(p + mid[:, None] * (q - p))
     if not cuts:
         return False, False
     pts = np.concatenate(cuts)
-    within, edge = inside(pts[:, 0], pts[:, 1], rings)
-    return bool(within.any()), bool((~within & ~edge).any())
+    some, held = np.zeros(len(pts), bool), np.zeros(len(pts), bool)
+    for rings in polygons:
+        within, edge = inside(pts[:, 0], pts[:, 1], rings)
+        some |= within
+        held |= within | edge
+    return bool(some.any()), bool((~held).any())

@@ -50,10 +50,8 @@ def spatial_filter(source: DataFrame, areas: list[list[list[tuple[float, float]]
         out = []
         for pts in lines:
             xy = np.array([(p["x"], p["y"]) for p in pts], float)
-            parts = [geo.line_in_area(xy, p) for p in polygons]
-            some = any(a for a, _ in parts)
+            some, beyond = geo.line_in_areas(xy, polygons)
             touches = some or any(np.logical_or(*geo.inside(xy[:, 0], xy[:, 1], p)).any() for p in polygons)
-            beyond = all(b for _, b in parts)
             out.append({"within": some and not beyond, "intersects": touches, "crosses": some and beyond}[method])
         return pd.Series(out)
 
