@@ -226,3 +226,12 @@ def test_matrices_of_all_users(spark):
     for run, plain, near in ((catalog_trips.distance_matrix_haversine_users, great_circle, 0.2), (catalog_trips.distance_matrix_euclidean_users, math.dist, 1e-8)):
         got = {(r["i"], r["j"]): r["distance"] for r in run(spark, sf).collect()}
         assert got == {(i, j): pytest.approx(plain(centres[i], centres[j]), abs=near) for i in centres for j in centres}
+
+
+def test_label_looks_at_twenty():
+    """A registered query runs the label join with the default number of triplegs, as its SQL does."""
+    from wayfarer.plans.catalog import ORACLE_SQL, QUERIES
+
+    assert "temp_overlap_label_join_default" in QUERIES
+    assert "k <= 20" in ORACLE_SQL["temp_overlap_label_join_default"]
+    assert "k <= 3" not in ORACLE_SQL["temp_overlap_label_join_default"]

@@ -11,7 +11,7 @@ from wayfarer.operators.locations import generate_locations
 from wayfarer.operators.spatial import add_modes_to_triplegs, distance_matrix, spatial_filter
 from wayfarer.operators.trips import generate_tours, generate_trips, get_trips_grouped
 from wayfarer.plans import fixtures as fx
-from wayfarer.plans.catalog import MODE_SQL, MODES, query, r6
+from wayfarer.plans.catalog import MODE_SQL, MODES, ORACLE_SQL, query, r6
 from wayfarer.plans.fixtures import LOC, hav, with_sql
 
 # -- trips and tours ---------------------------------------------------------------------------------------------------
@@ -392,3 +392,11 @@ def temp_overlap_label_join(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet")
     labels = events.select(F.col("event_id").alias("id"), "user_id", F.col("event_type").alias("mode"), F.expr("ts - interval 40000 seconds").alias("started_at"), F.expr("ts + interval 40000 seconds").alias("finished_at"))
     return add_modes_to_triplegs(fx.triplegs(spark, sf)[2], labels, max_triplegs=3).select("id", "label_id", "mode")
+
+
+@query(ORACLE_SQL["temp_overlap_label_join"].replace("where k <= 3)", "where k <= 20)"))
+def temp_overlap_label_join_default(spark, sf):
+    """With the operator's own number of triplegs that a label looks at."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    labels = events.select(F.col("event_id").alias("id"), "user_id", F.col("event_type").alias("mode"), F.expr("ts - interval 40000 seconds").alias("started_at"), F.expr("ts + interval 40000 seconds").alias("finished_at"))
+    return add_modes_to_triplegs(fx.triplegs(spark, sf)[2], labels).select("id", "label_id", "mode")
