@@ -235,3 +235,11 @@ def test_label_looks_at_twenty():
     assert "temp_overlap_label_join_default" in QUERIES
     assert "k <= 20" in ORACLE_SQL["temp_overlap_label_join_default"]
     assert "k <= 3" not in ORACLE_SQL["temp_overlap_label_join_default"]
+
+
+def test_more_metrics(spark):
+    pts = spark.createDataFrame([(0, 3.0, 4.0), (1, -1.0, 2.0), (2, 0.0, 0.0)], "id long, lon double, lat double")
+    want = {"l1": (6.0, 7.0), "l2": (math.sqrt(20), 5.0), "canberra": (1 + 1 / 3, 2.0), "braycurtis": (0.75, 1.0), "cosine": (1 - 1 / math.sqrt(5), 1.0)}
+    for metric, (one, zero) in want.items():
+        got = {(r["i"], r["j"]): r["distance"] for r in distance_matrix(pts, dist_metric=metric).collect()}
+        assert (got[0, 1], got[0, 2], got[0, 0]) == (pytest.approx(one), pytest.approx(zero), pytest.approx(0.0, abs=1e-12)), metric

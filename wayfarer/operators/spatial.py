@@ -60,7 +60,7 @@ def spatial_filter(source: DataFrame, areas: list[list[list[tuple[float, float]]
 
 def distance_matrix(x: DataFrame, y: DataFrame | None = None, dist_metric: str = "haversine", p: float = 2.0) -> DataFrame:
     """(i, j, distance) for all rows of x and y (or x itself): what a distance matrix is, so its size is the product of theirs.
-    Points: haversine, euclidean, manhattan, chebyshev, minkowski, sqeuclidean. Lines: dtw, frechet."""
+    Points: haversine, euclidean (l2), manhattan (l1, cityblock), chebyshev, minkowski, sqeuclidean, canberra, braycurtis, cosine. Lines: dtw, frechet."""
     y = x if y is None else y
     if dist_metric in ("dtw", "frechet"):
         kernel = geo.dtw if dist_metric == "dtw" else geo.frechet
@@ -74,10 +74,15 @@ def distance_matrix(x: DataFrame, y: DataFrame | None = None, dist_metric: str =
     a = x.select(F.col("id").alias("i"), F.col("lon").alias("_x1"), F.col("lat").alias("_y1"))
     b = y.select(F.col("id").alias("j"), F.col("lon").alias("_x2"), F.col("lat").alias("_y2"))
     dx, dy = F.abs(F.col("_x1") - F.col("_x2")), F.abs(F.col("_y1") - F.col("_y2"))
+    x1, y1, x2, y2 = map(F.col, ("_x1", "_y1", "_x2", "_y2"))
+    share = lambda d, whole: F.when(whole == 0, F.when(d == 0, 0.0)).otherwise(d / F.when(whole != 0, whole))
+    norms = F.sqrt(x1 * x1 + y1 * y1) * F.sqrt(x2 * x2 + y2 * y2)
     known = {
         "haversine": geo.haversine(F.col("_x1"), F.col("_y1"), F.col("_x2"), F.col("_y2")),
         "euclidean": geo.euclidean(F.col("_x1"), F.col("_y1"), F.col("_x2"), F.col("_y2")),
         "sqeuclidean": dx * dx + dy * dy, "manhattan": dx + dy, "cityblock": dx + dy, "chebyshev": F.greatest(dx, dy), "minkowski": F.pow(F.pow(dx, p) + F.pow(dy, p), F.lit(1 / p)),
+        "l1": dx + dy, "l2": geo.euclidean(x1, y1, x2, y2), "canberra": share(dx, F.abs(x1) + F.abs(x2)) + share(dy, F.abs(y1) + F.abs(y2)), "braycurtis": share(dx + dy, F.abs(x1 + x2) + F.abs(y1 + y2)),
+        "cosine": F.when(norms == 0, F.lit(1.0)).otherwise(F.lit(1.0) - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (x1 * x2 + y1 * y2) / F.when(norms != 0, norms)))),
     }
     if dist_metric not in known:
         raise ValueError(f"dist_metric unknown: {dist_metric!r}")
