@@ -8,7 +8,9 @@ two nodes that stood side by side would have merged before either was taken up b
 failing pair undergo exact merging, again many at a time.
 
 A text is cut into chunks, each the white space before a word and the word; a chunk's ids depend on nothing else. A bounded
-table, keyed by a chunk's own bytes and not by a hash alone, remembers the ids of chunks.
+table, keyed by a chunk's own bytes and not by a hash alone, remembers the ids of chunks. What isn't plain letters and signs is
+normalised and cut into pretokens by the tokenizer file's own rules, run by the library that the file is for, so that letters,
+numbers and white space are what that library takes for them.
 """
 
 from __future__ import annotations
@@ -16,7 +18,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,17 +27,14 @@ from pyspark.sql import DataFrame
 
 from wayfarer.llm.common import mix64
 
-#: The two pretokenizer patterns (white space is spelled as the Unicode property).
-BYTE_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-WORD_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 #: White space beyond ASCII (fixed by Unicode).
 WIDE_SPACES = frozenset("\x85\xa0                　")
 NEVER = 1 << 30
 SHORT = 24  #: bytes of the chunks that the table keeps
-WIDE = 32  #: bytes of the longest pretoken that is handled in a matrix
-GUESS = 16  #: bytes of the longest token that is proposed
+PAD = 32  #: bytes after the last text
+MERGED = 48  #: bytes of the longest pretoken that is merged in a matrix; longer ones are merged with a heap
+AREA = 4_000_000  #: bytes of a matrix of pretokens
 PRIME = np.uint64(0x9E3779B97F4A7C15)
-PRIMES = np.arange(64, dtype=np.uint64) * PRIME
 
 
 def byte_alphabet() -> list[str]:
@@ -105,6 +103,8 @@ class SpeculativeBPE:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self._special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.words_only = bool(spec.get("normalizer"))
+        self._rules = (spec.get("normalizer"), spec.get("pre_tokenizer"))
+        self._byte_of = {c: b for b, c in enumerate(byte_alphabet())}
         self.size = 1 + max([*vocab.values(), *self.special.values()])
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self._tables(vocab, model["merges"])
@@ -142,20 +142,33 @@ class SpeculativeBPE:
         self.merge_of = HashMap(np.array([(a << 32) | b for a, b in pairs], np.int64), np.array([*pairs.values()], np.int64))
         self.left, self.right, self.born = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1, np.int64)
         plain = [t for t in vocab.values() if t not in set(self.special.values())]
-        out, last = self._merge_many(*self._matrix([self.token_bytes[t] for t in plain], ends[plain]))
-        whole = np.array([len(o) == 1 and o[0] == t for o, t in zip(out, plain, strict=True)], bool)
+        out, count, last = self._merge_many(*self._matrix([self.token_bytes[t] for t in plain], ends[plain]))
+        whole = count == 1
+        whole[whole] = out[(np.cumsum(count) - count)[whole]] == np.array(plain)[whole]
         good = np.array(plain)[whole]  # only these can come out of merging
         made = last[whole] >= 0
         first = {k: p for p, k in pairs.items()}
         for t, k in zip(good[made].tolist(), last[whole][made].tolist(), strict=True):
             self.left[t], self.right[t] = first[k]
             self.born[t] = k
-        short = [t for t in good.tolist() if len(self.token_bytes[t]) <= GUESS]
-        mat, lens = self._bytes_matrix([self.token_bytes[t] for t in short])
-        self.powers = np.cumprod(np.concatenate([[1], np.full(WIDE, 0x100000001B3, np.uint64)]).astype(np.uint64))
-        h = self._prefixes(mat)[np.arange(len(short)), lens] + lens.astype(np.uint64) * PRIME
-        h ^= np.where(ends[short], np.uint64(0x5851F42D4C957F2D), np.uint64(0))
-        self.token_of = HashMap(h.view(np.int64), np.array(short, np.int64))
+        some = [t for t in good.tolist() if self.token_bytes[t]]
+        lens = np.fromiter((len(self.token_bytes[t]) for t in some), np.int64, len(some))
+        self.sizes = np.unique(lens)  # the lengths that tokens have, fewer than 53: a set of them is a float's whole number
+        if len(self.sizes) > 52:
+            raise ValueError("tokens of too many lengths")
+        self.powers = np.cumprod(np.concatenate([[1], np.full(int(lens.max(initial=1)), 0x100000001B3, np.uint64)]).astype(np.uint64))
+        self.salts = np.arange(len(self.powers), dtype=np.uint64) * PRIME
+        keys, bits = np.zeros(len(some), np.uint64), np.zeros(1 << 16, np.uint64)
+        few = np.uint64((1 << int(np.searchsorted(self.sizes, 4))) - 1)  # lengths under 4 are always tried
+        for lo in range(0, len(some), 20_000):
+            part = some[lo : lo + 20_000]
+            mat, n = self._bytes_matrix([self.token_bytes[t] for t in part])
+            keys[lo : lo + len(part)] = self._prefixes(mat)[np.arange(len(part)), n] + self.salts[n] ^ np.where(ends[part], _END, np.uint64(0))
+            long = np.flatnonzero(n >= 4)
+            np.bitwise_or.at(bits, _begin(mat[long, :4]), np.uint64(1) << np.searchsorted(self.sizes, n[long]).astype(np.uint64))
+        self.tries = bits | few  # by how a rest begins, which lengths may match there
+        self.upto = np.array([(1 << int(np.searchsorted(self.sizes, n, "right"))) - 1 for n in range(len(self.powers))], np.uint64)
+        self.token_of = HashMap(keys.view(np.int64), np.array(some, np.int64))
 
     def _bytes_matrix(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lens = np.fromiter(map(len, words), np.int64, len(words))
@@ -165,53 +178,67 @@ class SpeculativeBPE:
     def _matrix(self, words: list[bytes], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Single-byte tokens; the last has the suffix where ends says so."""
         mat, lens = self._bytes_matrix(words)
+        return self._matrix_of(mat, lens, ends & (lens > 0))
+
+    def _matrix_of(self, mat: np.ndarray, lens: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        mat = mat[:, : int(lens.max(initial=1))]
         ids = self.of_byte[mat]
-        at = np.flatnonzero(ends & (lens > 0))
-        ids[at, lens[at] - 1] = self.of_last[mat[at, lens[at] - 1]]
+        if self.suffix:
+            at = np.arange(len(mat)) if ends is None else np.flatnonzero(ends)
+            ids[at, lens[at] - 1] = self.of_last[mat[at, lens[at] - 1]]
         return ids, lens
 
     # -- exact merging ---------------------------------------------------------------------------------------------------
 
-    def _merge_many(self, ids: np.ndarray, lens: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        """Merges each row (lowest rank first, then leftmost); the tokens of each, and the last merge of each (-1: none)."""
-        last, out = np.full(len(ids), -1, np.int64), [np.empty(0, np.int64)] * len(ids)
+    def _merge_many(self, ids: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Merges each row (lowest rank first, then leftmost): all tokens in one array, the number of each, and the last merge of each (-1: none).
+
+        Tokens stay where they begin and are linked to their neighbours, so a merge touches three cells of a row."""
+        last, count, parts = np.full(len(ids), -1, np.int64), np.zeros(len(ids), np.int64), []
         order = np.argsort(lens, kind="stable")
+        order = order[int(np.searchsorted(lens[order], 1)) :]
         for lo in range(0, len(order), 20_000):
             rows = order[lo : lo + 20_000]
-            width = int(lens[rows].max(initial=0))
-            if width == 0:
-                continue
-            t, n = ids[rows, :width].astype(np.int32), lens[rows].copy()
-            cols = np.arange(width)
+            n = lens[rows]
+            width = int(n.max())
+            t = np.where(np.arange(width) < n[:, None], ids[rows, :width], -1).astype(np.int32)
             rank = np.full((len(rows), width), NEVER, np.int32)
-            for c in range(width - 1):
-                k = self.merge_of.get((t[:, c].astype(np.int64) << 32) | t[:, c + 1])
-                rank[:, c] = np.where((k >= 0) & (c + 1 < n), k, NEVER)
-            live = np.arange(len(rows))
-            while len(live):
-                m = rank[live].argmin(1)
-                k = rank[live, m]
-                on = k < NEVER
-                live, m, k = live[on], m[on], k[on]
-                if not len(live):
-                    break
-                last[rows[live]] = k
-                source = np.minimum(cols + (cols > m[:, None]), width - 1)
-                a, r = np.take_along_axis(t[live], source, 1), np.take_along_axis(rank[live], source, 1)
-                n[live] -= 1
-                i = np.arange(len(live))
-                a[i, m] = self.result[k]
-                r[i, -1] = NEVER
-                for at, ok in ((m, m + 1 < n[live]), (m - 1, m > 0)):
-                    j = np.flatnonzero(ok)
-                    k2 = self.merge_of.get((a[j, at[j]].astype(np.int64) << 32) | a[j, at[j] + 1])
-                    r[j, at[j]] = np.where(k2 >= 0, k2, NEVER)
-                j = np.flatnonzero(m + 1 >= n[live])
-                r[j, m[j]] = NEVER
-                t[live], rank[live] = a, r
-            for i, (row, count) in enumerate(zip(rows.tolist(), n.tolist(), strict=True)):
-                out[row] = t[i, :count]
-        return out, last
+            pairs = self.merge_of.get(((t[:, :-1].astype(np.int64) << 32) | t[:, 1:]).ravel()).reshape(len(rows), width - 1)
+            rank[:, :-1] = np.where((pairs >= 0) & (t[:, 1:] >= 0), pairs, NEVER)
+            cells, of = t.ravel(), np.arange(len(rows))
+            after, before = (np.tile(np.arange(width, dtype=np.int32) + k, len(rows)) for k in (1, -1))
+            while len(of):
+                m = rank.argmin(1)
+                k = rank[np.arange(len(of)), m]
+                on = np.flatnonzero(k < NEVER)
+                if len(on) < len(of):  # the others are done
+                    rank, of, m, k = rank[on], of[on], m[on], k[on]
+                    if not len(of):
+                        break
+                last[rows[of]] = k
+                i, base = np.arange(len(of)), of * width
+                at = base + m
+                gone = after[at]
+                new = self.result[k]
+                cells[at], cells[base + gone], rank[i, gone] = new, -1, NEVER
+                nxt = after[base + gone]
+                after[at] = nxt
+                inside = np.flatnonzero(nxt < n[of])
+                before[base[inside] + nxt[inside]] = m[inside]
+                rank[i, m] = NEVER
+                r = self.merge_of.get((new[inside] << 32) | cells[base[inside] + nxt[inside]])
+                rank[inside, m[inside]] = np.where(r >= 0, r, NEVER)
+                p = before[at]
+                inside = np.flatnonzero(p >= 0)
+                r = self.merge_of.get((cells[base[inside] + p[inside]].astype(np.int64) << 32) | new[inside])
+                rank[inside, p[inside]] = np.where(r >= 0, r, NEVER)
+            left = t >= 0
+            count[rows] = left.sum(1)
+            parts.append((rows, t[left]))
+        out, begin = np.empty(int(count.sum()), np.int64), np.cumsum(count) - count
+        for rows, got in parts:
+            out[ragged(begin[rows], count[rows])] = got
+        return out, count, last
 
     def merge_one(self, word: bytes) -> np.ndarray:
         """Exact merging of one pretoken of any length, with a heap."""
@@ -245,36 +272,38 @@ class SpeculativeBPE:
         return out
 
     def propose(self, mat: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Greedy longest matches of each row: a matrix of tokens and their number (-1 tokens: no match)."""
+        """Greedy longest matches of each row: a matrix of tokens and their number (-1 tokens: no match).
+
+        A round tries one length in each row: the longest that some token with the rest's first bytes has and that hasn't failed."""
         n, width = mat.shape
-        pre, pos, count = self._prefixes(mat), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        out = np.full((n, width), -1, np.int64)
-        live = np.flatnonzero(lens > 0)
-        while len(live):
-            todo = live
-            rest = lens[todo] - pos[todo]
-            for k in range(min(GUESS, width), 0, -1):
-                can = rest >= k
-                if not can.any():
-                    continue
-                i = todo[can]
-                h = pre[i, pos[i] + k] - pre[i, pos[i]] * self.powers[k] + PRIMES[k]
-                if self.suffix:
-                    h ^= np.where(rest[can] == k, np.uint64(0x5851F42D4C957F2D), np.uint64(0))
-                t = self.token_of.get(h.view(np.int64))
-                hit = t >= 0
-                j = i[hit]
-                out[j, count[j]] = t[hit]
-                count[j] += 1
-                pos[j] += k
-                keep = np.ones(len(todo), bool)
-                keep[np.flatnonzero(can)[hit]] = False
-                todo, rest = todo[keep], rest[keep]
-                if not len(todo):
-                    break
-            count[todo] += 1  # a byte without a match: exact merging will do
-            pos[todo] = lens[todo]
-            live = live[pos[live] < lens[live]]
+        pre, count, out = self._prefixes(mat), np.zeros(n, np.int64), np.full((n, width), -1, np.int64)
+        begin = np.zeros((n, width), np.int64)
+        if width >= 4:
+            begin[:, : width - 3] = _begin(np.lib.stride_tricks.sliding_window_view(mat, 4, axis=1))
+        most = len(self.powers) - 1
+        row, at, left = np.flatnonzero(lens > 0), np.zeros(int((lens > 0).sum()), np.int64), lens[lens > 0]
+        todo = self.tries[begin[row, at]] & self.upto[np.minimum(left, most)]
+        while len(row):
+            some = todo > 0
+            place = np.frexp(todo.astype(np.float64))[1] - 1
+            k = np.where(some, self.sizes[np.maximum(place, 0)], left)
+            h = pre[row, at + k] - pre[row, at] * self.powers[np.minimum(k, most)] + self.salts[np.minimum(k, most)]
+            if self.suffix:
+                h ^= np.where(left == k, _END, np.uint64(0))
+            t = self.token_of.get(h.view(np.int64))
+            t[~some] = -1  # a byte without a match: exact merging will do
+            hit = (t >= 0) | ~some
+            i = np.flatnonzero(hit)
+            r = row[i]
+            out[r, count[r]] = t[i]
+            count[r] += 1
+            at[i] += k[i]
+            left[i] -= k[i]
+            todo = todo & ~(np.uint64(1) << np.maximum(place, 0).astype(np.uint64))
+            i = i[left[i] > 0]
+            todo[i] = self.tries[begin[row[i], at[i]]] & self.upto[np.minimum(left[i], most)]
+            keep = left > 0
+            row, at, left, todo = row[keep], at[keep], left[keep], todo[keep]
         return out, count
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -312,14 +341,13 @@ class SpeculativeBPE:
         self.proposed += len(mat)
         self.merged_exactly += len(redo)
         if len(redo):
-            width = int(lens[redo].max())
-            ids = self.of_byte[mat[redo, :width]]
-            if self.suffix:
-                i = np.arange(len(redo))
-                ids[i, lens[redo] - 1] = self.of_last[mat[redo, lens[redo] - 1]]
-            merged, _ = self._merge_many(ids, lens[redo])
-            count[redo] = n = np.fromiter(map(len, merged), np.int64, len(merged))
-            guess[np.repeat(redo, n), ragged(np.zeros(len(n), np.int64), n)] = np.concatenate(merged)
+            short = redo[lens[redo] <= MERGED]
+            flat, n, _ = self._merge_many(*self._matrix_of(mat[short], lens[short]))
+            long = redo[lens[redo] > MERGED]
+            more = [self.merge_one(mat[r, : lens[r]].tobytes()) for r in long.tolist()]
+            redo, n = np.concatenate([short, long]), np.concatenate([n, np.fromiter(map(len, more), np.int64, len(more))])
+            count[redo] = n
+            guess[np.repeat(redo, n), ragged(np.zeros(len(n), np.int64), n)] = np.concatenate([flat, *more])
         return guess[np.arange(guess.shape[1]) < count[:, None]], count
 
     # -- chunks and pretokens --------------------------------------------------------------------------------------------
@@ -350,23 +378,27 @@ class SpeculativeBPE:
         return starts, stops, np.diff(upto)
 
     def _pretokens(self, text: str) -> list[bytes]:
-        if self.words_only:
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-            return [p.encode() for p in WORD_PATTERN.findall(text)]
-        return [p.encode() for p in BYTE_PATTERN.findall(text)]
+        if not hasattr(self, "_library"):
+            from tokenizers import Tokenizer
+
+            rules = {"version": "1.0", "added_tokens": [], "normalizer": self._rules[0], "pre_tokenizer": self._rules[1], "model": {"type": "BPE", "vocab": {}, "merges": []}}
+            self._library = Tokenizer.from_str(json.dumps(rules))  # no vocabulary: for the classes of characters only
+        if self._library.normalizer is not None:
+            text = self._library.normalizer.normalize_str(text)
+        return [bytes(map(self._byte_of.__getitem__, p)) for p, _ in self._library.pre_tokenizer.pre_tokenize_str(text)]
 
     def _encode_lists(self, lists: list[list[bytes]]) -> list[np.ndarray]:
         """The ids of texts given as their pretokens."""
-        words = list({w for ws in lists for w in ws})
-        ids = dict.fromkeys(words)
-        short = [w for w in words if 0 < len(w) <= WIDE]
-        for lo in range(0, len(short), 50_000):
-            part = short[lo : lo + 50_000]
-            flat, count = self.encode_words(*self._bytes_matrix(part))
-            ids.update(zip(part, np.split(flat, np.cumsum(count)[:-1]), strict=True))
-        for w in words:
-            if ids[w] is None:
-                ids[w] = self.merge_one(w)
+        words = sorted({w for ws in lists for w in ws if w}, key=len)
+        ids: dict[bytes, np.ndarray] = {b"": np.empty(0, np.int64)}
+        lo = 0
+        while lo < len(words):  # words of about a length, as many as an area holds
+            hi = lo + 1
+            while hi < len(words) and hi - lo < 50_000 and (hi - lo + 1) * len(words[hi]) <= AREA:
+                hi += 1
+            flat, count = self.encode_words(*self._bytes_matrix(words[lo:hi]))
+            ids.update(zip(words[lo:hi], np.split(flat, np.cumsum(count)[:-1]), strict=True))
+            lo = hi
         return [np.concatenate([ids[w] for w in ws]) if ws else np.empty(0, np.int64) for ws in lists]
 
     def _simple(self, mat: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -467,6 +499,8 @@ class SpeculativeBPE:
 
     def _encode_buffer(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts (bytes buf[offs[k]:offs[k+1]], 32 bytes of padding after them): all in one array, and the number of each."""
+        if offs[-1] == 0:
+            return np.empty(0, self.dtype), np.zeros(len(offs) - 1, np.int64)
         if self.used > self.pool_ids:
             self._forget()
         starts, stops, chunks = self._cut(buf, offs)
@@ -492,14 +526,14 @@ class SpeculativeBPE:
             self.table[slot[new], :3] = key[first, :3]
             self.table[slot[new], 3] = (base.astype(np.uint64) << np.uint64(16)) | (count.astype(np.uint64) << np.uint64(6)) | (dep.astype(np.uint64) << np.uint64(5)) | lens[new].astype(np.uint64)
             at[miss], n[miss], odd[miss] = base[which], count[which], dep[which]
-        for c in np.flatnonzero(lens > SHORT).tolist():
-            raw = bytes(buf[starts[c] : stops[c]])
-            if (found := self.long.get(raw)) is None:
-                text = raw.decode()
-                ids = self._encode_lists([self._pretokens(text)])[0]
-                found = (self._store(ids), len(ids), not self.words_only and text[-1] in WIDE_SPACES)
-                self.long[raw] = found
-            at[c], n[c], odd[c] = found
+        raws = [(c, bytes(buf[starts[c] : stops[c]])) for c in np.flatnonzero(lens > SHORT).tolist()]
+        fresh = list({raw for _, raw in raws if raw not in self.long})
+        if fresh:
+            words = [raw.decode() for raw in fresh]
+            for raw, word, ids in zip(fresh, words, self._encode_lists([self._pretokens(w) for w in words]), strict=True):
+                self.long[raw] = (self._store(ids), len(ids), not self.words_only and word[-1] in WIDE_SPACES)
+        for c, raw in raws:
+            at[c], n[c], odd[c] = self.long[raw]
         of_chunk = np.repeat(np.arange(len(chunks)), chunks)
         flat = self.pool[ragged(at, n)]
         per_text = np.bincount(of_chunk, n, len(chunks)).astype(np.int64) if len(n) else np.zeros(len(chunks), np.int64)
@@ -513,7 +547,7 @@ class SpeculativeBPE:
 
     def encode_flat(self, data: bytes | np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of UTF-8 texts data[offs[k]:offs[k+1]]: all in one array, and the number of each."""
-        buf = np.concatenate([np.frombuffer(data, np.uint8)[int(offs[0]) : int(offs[-1])], np.zeros(WIDE, np.uint8)])
+        buf = np.concatenate([np.frombuffer(data, np.uint8)[int(offs[0]) : int(offs[-1])], np.zeros(PAD, np.uint8)])
         offs = offs.astype(np.int64) - int(offs[0])
         marks = [m.start() for m in regex.finditer(b"<\\|", bytes(buf))] if self._special is not None and b"<|" in bytes(buf) else []
         held = np.unique(np.searchsorted(offs, marks, "right") - 1).tolist() if marks else []
@@ -558,6 +592,14 @@ class SpeculativeBPE:
         return self._text[ragged(self._text_at[flat], n)], sums[ends] - sums[ends - count]
 
 
+def _begin(four: np.ndarray) -> np.ndarray:
+    """16 bits of hash of four bytes."""
+    w = four.astype(np.uint32)
+    x = w[..., 0] | w[..., 1] << np.uint32(8) | w[..., 2] << np.uint32(16) | w[..., 3] << np.uint32(24)
+    return ((x ^ x >> np.uint32(15)) * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.int64)
+
+
+_END = np.uint64(0x5851F42D4C957F2D)  #: goes into the hashes of tokens that end a word
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _KIND = np.zeros(256, np.uint8)
