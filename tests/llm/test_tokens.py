@@ -168,13 +168,14 @@ def test_store_empty(spark):
     assert token_store(odd_docs(spark, []), tokenizer_path("byte_bpe_50k.json")).collect() == []
 
 
-@pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 5000])
+@pytest.mark.parametrize("n", [0, 1, 511, 32_767, 32_768, 32_769, 100_000])
 def test_wavelet_matrix(n):
     from wayfarer.llm.wavelet import from_bytes, to_bytes
 
     rng = np.random.default_rng(n)
     ids = rng.integers(0, 37, n).astype(np.uint16)
-    names, count, wm = from_bytes(to_bytes([7, None], np.array([n, 0]), ids, 16))
+    shard = from_bytes(to_bytes(np.array([7, 0]), np.array([False, True]), np.array([n, 0]), ids, 16))
+    (names, count), wm = shard.documents(), shard.ids
     assert (names, count.tolist(), wm.decode().tolist()) == ([7, None], [n, 0], ids.tolist())
     for i in rng.integers(0, max(n, 1), 20).tolist() if n else []:
         assert wm.access(i) == ids[i]
@@ -182,6 +183,46 @@ def test_wavelet_matrix(n):
         at = np.flatnonzero(ids == token).tolist()
         assert wm.count(token) == len(at)
         assert wm.rank(token, n // 2) == sum(x < n // 2 for x in at)
-        assert wm.occurrences(token)[:50] == at[:50]
+        assert [wm.select(token, k) for k in range(min(50, len(at)))] == at[:50]
         with pytest.raises(IndexError):
             wm.select(token, len(at))
+
+
+def test_look_ups_read_blocks(tmp_path):
+    """One look-up in a file reads the directory and a block of each plane or two, a small part of the file."""
+    from wayfarer.llm.wavelet import BLOCK, Shard, open_shard, to_bytes
+
+    rng = np.random.default_rng(1)
+    ids = rng.integers(0, 50_000, 60 * BLOCK).astype(np.uint16)
+    blob = to_bytes(np.arange(3), np.zeros(3, bool), np.array([len(ids) - 2, 1, 1]), ids, 16)
+    (tmp_path / "x.wavm").write_bytes(blob)
+    read = []
+
+    def part(at, size):
+        read.append(size)
+        return blob[at : at + size]
+
+    shard = Shard(part)
+    assert shard.ids.access(1_234_567) == ids[1_234_567]
+    assert sum(read) < len(blob) / 20
+    assert shard.ids.rank(77, 1_000_000) == int((ids[:1_000_000] == 77).sum())
+    assert sum(read) < len(blob) / 6
+    far = open_shard(f"file://{tmp_path}/x.wavm")
+    at = np.flatnonzero(ids == 4321)
+    assert (far.ids.count(4321), far.ids.select(4321, 5), far.ids.access(99)) == (len(at), at[5], ids[99])
+
+
+def test_store_hot_id(spark, library, tmp_path):
+    """An id that most rows share is dealt out over several ranges."""
+    from wayfarer.llm.bpe import tokenizer_path
+    from wayfarer.llm.wavelet import read_shards, write_shards
+
+    rows = [(5, f"row {k}") for k in range(300)] + [(k, f"other {k}") for k in range(40)]
+    out = f"file://{tmp_path}/store"
+    made = write_shards(odd_docs(spark, rows), tokenizer_path("byte_bpe_50k.json"), out, shard_ids=64)
+    assert made.select("part").distinct().count() > 2
+    got = sorted(((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in read_shards(spark, out).collect()))
+    ids = [[*ids_of(library, "byte_bpe_50k.json", t), 2] for _, t in rows]
+    assert sorted(g[1:] for g in got) == sorted((d, len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for (d, _), i in zip(rows, ids, strict=True))
+    assert [g[1] for g in got] == sorted(g[1] for g in got)
+    assert [g[0] for g in got] == [0, *np.cumsum([g[2] for g in got])[:-1].tolist()]
