@@ -33,7 +33,8 @@ NEVER = 1 << 30
 SHORT = 24  #: bytes of the chunks that the table keeps
 PAD = 32  #: bytes after the last text
 MERGED = 48  #: bytes of the longest pretoken that is merged in a matrix; longer ones are merged with a heap
-AREA = 4_000_000  #: bytes of a matrix of pretokens
+AREA = 1_000_000  #: bytes of a matrix of pretokens
+CELLS = 400_000  #: cells of a matrix in which pretokens are merged
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -197,8 +198,11 @@ class SpeculativeBPE:
         last, count, parts = np.full(len(ids), -1, np.int64), np.zeros(len(ids), np.int64), []
         order = np.argsort(lens, kind="stable")
         order = order[int(np.searchsorted(lens[order], 1)) :]
-        for lo in range(0, len(order), 20_000):
-            rows = order[lo : lo + 20_000]
+        lo = 0
+        while lo < len(order):  # as many rows as an area holds; they are sorted by length
+            fits = np.arange(1, min(20_000, len(order) - lo) + 1) * lens[order[lo : lo + 20_000]] <= CELLS
+            rows = order[lo : lo + max(1, int(np.count_nonzero(fits)))]
+            lo += len(rows)
             n = lens[rows]
             width = int(n.max())
             t = np.where(np.arange(width) < n[:, None], ids[rows, :width], -1).astype(np.int32)
@@ -634,7 +638,7 @@ def bpe_round_trip(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in slices(batches, 4_000_000):
+        for b in slices(batches):
             flat, count = enc.encode_arrow(b.column("text"))
             back, size = enc.decode_flat(flat, count)
             wide, ends, back_ends = flat.astype("<u4"), np.cumsum(count), np.cumsum(size)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
+import threading
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -20,13 +22,21 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared folder that spark.checkpoint.dir names (a local one only where it is unset)."""
+    """A new folder below the shared folder that spark.checkpoint.dir names. Where that is unset, one machine alone (a local
+    master) uses its own temporary folder; a cluster can't, and raises ValueError."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "wayfarer-scratch")
     return f"{root.rstrip('/')}/wayfarer-{uuid.uuid4().hex}"
 
 
+try:
+    _TRIM = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):
+    _TRIM = None
+_writing = threading.Lock()
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -36,13 +46,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     The shuffle files behind it are given up as soon as it is written, so that steps don't pile them up."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.mode("overwrite").parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    with _writing:  # the setting is the session's: threads that share it take turns
+        before = spark.conf.get(_CLEANUP, None)
+        spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that written() made, once nothing reads them any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._scratch).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release() -> None:
+    """Gives memory that a task has freed back to the system, as its worker process lives on."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,7 +92,7 @@ def crc_ids(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").tobytes())
 
 
-def slices(batches: Iterator[pa.RecordBatch], chars: int = 8_000_000, column: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], chars: int = 2_000_000, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about so many bytes of text, so that a task's memory doesn't follow the rows in a batch."""
     for b in batches:
         if not b.num_rows:
@@ -73,6 +101,7 @@ def slices(batches: Iterator[pa.RecordBatch], chars: int = 8_000_000, column: st
         rows = max(1, int(b.num_rows * min(1.0, chars / max(1, col.nbytes))))
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+    release()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -84,9 +84,9 @@ class Model:
 
 def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Slices of bounded text and rows, as each row takes a dense vector."""
-    for b in slices(batches, 4_000_000):
-        for i in range(0, b.num_rows, 1000):
-            yield b.slice(i, 1000)
+    for b in slices(batches, 1_000_000):
+        for i in range(0, b.num_rows, 200):
+            yield b.slice(i, 200)
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:

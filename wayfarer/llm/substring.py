@@ -1,18 +1,21 @@
 """Removal of repeated passages: seed and extend.
 
-Every window of `window` words has one anchor: of the k-word seeds in it, the last of those with the smallest hash (winnowing).
+Every window of `window` words has one anchor: of the SEED-word seeds in it, the last of those with the smallest hash (winnowing).
 Equal windows have equal anchors at equal places, so equal windows are found by joining documents on anchors alone, a few for
-each hundred words. Around an anchor, the seed is extended both ways over all windows that have it as their anchor; that stretch
-is its context.
+each hundred words. An anchor's context is all windows that have it as their anchor.
 
 - Anchors that occur once are dropped: no window around them is repeated.
-- Occurrences of an anchor with equal contexts form a class. All but the first of a class repeat it as a whole; they are
-  covered by the first and need no further comparison. A passage found in a third of all documents is so reduced to a few rows.
-- Where an anchor has several classes, because the texts part ways near it, the first of each class is taken window by window,
-  and every window whose words start earlier elsewhere is covered.
+- Occurrences of an anchor with equal contexts form a class. All but the first of a class match it as far as the context goes. A
+  passage found in a third of all documents is so reduced to a few rows.
+- Where an anchor has several classes, because the texts part ways near it, the first of each class is paired with the anchor's
+  earliest occurrence, and the match is extended left and right, word by word, until words differ. A match of `window` words or
+  more is a repeat. Occurrences that part from the earliest one at the same word can have more in common with each other than with
+  it; so those that share the word at which they part, on the left or on the right, are paired with the earliest of them in the
+  same way, and so on. Only windows that reach beyond that word are still looked for, so each round adds a word at least to what
+  is common and takes one away at the other end: there are window - SEED rounds at most, and few occurrences after the first.
 
-Covered windows merge into maximal repeats, and their words are removed. Windows are judged on the input, so the result does
-not depend on the order of work.
+Matches merge into maximal repeats, and their words are removed. They are judged on the input, so the result does not depend on
+the order of work. Words are compared by 64-bit hashes, one by one.
 
 Defined results: "earlier" means a smaller doc_id or, in the same document, an earlier start; a null doc_id comes before all
 others. Rows that share a doc_id are no earlier than each other at the same start. Null and empty texts have no words and give
@@ -49,11 +52,11 @@ class Ranges:
         return mix64((self.sums[hi] - self.sums[lo]) * self.inverse[lo] + mix64((hi - lo).astype(np.uint64) * np.uint64(1 << 20) + more.astype(np.uint64)))
 
 
-def anchors(h: np.ndarray, count: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of word hashes of many texts: (text, anchor hash, context hash, first word, end word) of each anchor, words counted in h."""
+def anchors(h: np.ndarray, count: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Of word hashes of many texts: (text, anchor hash, context hash, first word, end word, seed's first word) of each anchor, words counted in h."""
     n, none = len(h), np.empty(0, np.int64)
     if n < window:
-        return none, none.astype(np.uint64), none.astype(np.uint64), none, none
+        return none, none.astype(np.uint64), none.astype(np.uint64), none, none, none
     g = np.zeros(n - SEED + 1, np.uint64)
     for k in range(SEED):
         g = mix64(g * np.uint64(0x9E3779B97F4A7C15) + h[k : n - SEED + 1 + k])
@@ -72,17 +75,17 @@ def anchors(h: np.ndarray, count: np.ndarray, window: int) -> tuple[np.ndarray,
     s = starts + np.arange(len(starts)) - np.repeat(np.cumsum(np.maximum(count - window + 1, 0)) - np.maximum(count - window + 1, 0), np.maximum(count - window + 1, 0))
     text = np.repeat(np.arange(len(count)), np.maximum(count - window + 1, 0))
     if not len(s):
-        return none, none.astype(np.uint64), none.astype(np.uint64), none, none
+        return none, none.astype(np.uint64), none.astype(np.uint64), none, none, none
     at = at[s]
     new = np.ones(len(s), bool)
     new[1:] = (at[1:] != at[:-1]) | (text[1:] != text[:-1])
     i = np.flatnonzero(new)
     last = np.concatenate([i[1:], [len(s)]]) - 1
     lo, hi, p = s[i], s[last] + window, at[i]
-    return text[i], g[p], Ranges(h).of(lo, hi, p - lo), lo, hi
+    return text[i], g[p], Ranges(h).of(lo, hi, p - lo), lo, hi, p
 
 
-_SEEDS = "anchor bigint, context bigint, doc bigint, tid int, lo int, hi int, again boolean"
+_SEEDS = "anchor bigint, context bigint, doc bigint, tid int, lo int, hi int, at int, again boolean"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -94,12 +97,12 @@ def seeds(docs: DataFrame, window: int) -> DataFrame:
     """The anchors of all texts. Within a slice of the input, `again` marks those whose context starts earlier in the slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 4_000_000):
+        for b in slices(batches, 3_000_000):
             h, count, *_ = word_hashes(b.column("text"))
-            text, anchor, context, lo, hi = anchors(h, count, window)
+            text, anchor, context, lo, hi, at = anchors(h, count, window)
             doc, tid = b.column("doc").to_numpy(zero_copy_only=False)[text], b.column("tid").to_numpy(zero_copy_only=False)[text]
             base = (np.cumsum(count) - count)[text]
-            lo, hi = lo - base, hi - base
+            lo, hi, at = lo - base, hi - base, at - base
             order = np.lexsort((lo, doc, context, anchor))
             a, c, d, s = anchor[order], context[order], doc[order], lo[order]
             same = np.zeros(len(order), bool)
@@ -108,49 +111,126 @@ def seeds(docs: DataFrame, window: int) -> DataFrame:
             again = np.zeros(len(order), bool)
             again[order] = (d != d[head]) | (s != s[head])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), pa.array(doc), pa.array(tid), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(again)],
-                names=["anchor", "context", "doc", "tid", "lo", "hi", "again"],
+                [pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), pa.array(doc), pa.array(tid), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(again)],
+                names=["anchor", "context", "doc", "tid", "lo", "hi", "at", "again"],
             )
 
     return _keyed(docs).mapInArrow(run, _SEEDS)
 
 
-def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Each window of the contexts `at` of each text."""
-    for b in slices(batches, 4_000_000):
+_ROWS = "key bigint, anchor bigint, known_left int, known_right int, doc bigint, tid int, at int, left binary, right binary"
+_STEP = ["key", "anchor", "known_left", "known_right", "doc", "tid", "at", "left", "right", "lo", "hi"]
+_C = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _words(h: np.ndarray, start: np.ndarray, n: np.ndarray, step: int) -> pa.Array:
+    """Word hashes as binary values: n[i] of them from start[i] on, going right (step 1) or left (step -1)."""
+    sums = np.cumsum(n)
+    index = np.repeat(start, n) + step * (np.arange(int(n.sum())) - np.repeat(sums - n, n))
+    return pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((8 * np.concatenate([[0], sums])).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(h[index]))])
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each anchor listed in `seeds` of a text: the words of its context to the left and to the right of the seed."""
+    for b in slices(batches):
         h, count, *_ = word_hashes(b.column("text"))
-        at = b.column("at")
-        row = np.repeat(np.arange(b.num_rows), at.value_lengths().to_numpy(zero_copy_only=False))
-        flat = at.flatten()
-        anchor, lo, hi = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
-        n = hi - lo - window + 1
-        start = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        row, anchor = np.repeat(row, n), np.repeat(anchor, n)
-        begin = (np.cumsum(count) - count)[row] + start
-        wh = Ranges(h).of(begin, begin + window, np.zeros(len(begin), np.int64))
+        lists = b.column("seeds")
+        row = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+        flat = lists.flatten()
+        anchor, lo, hi, at = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4))
+        base, none = (np.cumsum(count) - count)[row], pa.array(np.zeros(len(row), np.int32))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(anchor), pa.array(wh.view(np.int64)), b.column("doc").take(pa.array(row)), b.column("tid").take(pa.array(row)), pa.array(start.astype(np.int32))],
-            names=["anchor", "hash", "doc", "tid", "lo"],
+            [pa.array(anchor), pa.array(anchor), none, none, b.column("doc").take(pa.array(row)), b.column("tid").take(pa.array(row)), pa.array(at.astype(np.int32)), _words(h, base + at - 1, at - lo, -1), _words(h, base + at + SEED, hi - at - SEED, 1)],
+            names=_STEP[:9],
         )
 
 
+def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of word hashes (0 beyond their end), and the number of each row's."""
+    column = column.cast(pa.large_binary())
+    _, offs, data = column.buffers()
+    offs = np.frombuffer(offs, np.int64)[column.offset : column.offset + len(column) + 1]
+    n = np.diff(offs) // 8
+    out = np.zeros((len(n), width), np.uint64)
+    if data is not None and n.sum():
+        out[np.arange(width) < n[:, None]] = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]].view(np.uint64)
+    return out, n
+
+
+def _common(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many words from the seed on are equal."""
+    (x, n), (y, m) = a, b
+    differ = (x != y) | (np.arange(x.shape[1]) >= np.minimum(n, m)[:, None])
+    return np.where(differ.any(1), differ.argmax(1), x.shape[1])
+
+
+def _prefixes(words: np.ndarray) -> np.ndarray:
+    """Hashes of the first 0, 1, 2 ... words of each row."""
+    out = np.zeros((words.shape[0], words.shape[1] + 1), np.uint64)
+    for k in range(words.shape[1]):
+        out[:, k + 1] = mix64(out[:, k] * _C + words[:, k])
+    return out
+
+
+def _cells(words: np.ndarray, n: np.ndarray) -> pa.Array:
+    """_matrix() the other way round."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((8 * np.concatenate([[0], np.cumsum(n)])).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(words[np.arange(words.shape[1]) < n[:, None]]))])
+
+
+def _extend(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Of occurrences, each with its hub (the key's earliest): matches of window words or more (lo, hi), and, for an occurrence
+    that parts from its hub within its context, rows under the keys of what is common with those that part there with its word."""
+    width = window - SEED
+    for b in slices(batches, column="left"):
+        hub = b.column("hub")
+        mine = [_matrix(b.column(c), width) for c in ("left", "right")]
+        theirs = [_matrix(hub.field(c), width) for c in ("left", "right")]
+        doc, at = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "at"))
+        same = (doc == hub.field("doc").to_numpy(zero_copy_only=False)) & (at == hub.field("at").to_numpy(zero_copy_only=False))
+        own = same & (b.column("tid").to_numpy(zero_copy_only=False) == hub.field("tid").to_numpy(zero_copy_only=False))
+        common = [_common(x, y) for x, y in zip(mine, theirs, strict=True)]
+        hit = np.flatnonzero(~same & (common[0] + SEED + common[1] >= window))
+        if len(hit):
+            lo, hi = at[hit] - common[0][hit], at[hit] + SEED + common[1][hit]
+            none, empty = [pa.nulls(len(hit), k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int32())], [pa.nulls(len(hit), pa.binary())] * 2
+            yield pa.RecordBatch.from_arrays([*none, *(b.column(c).take(pa.array(hit)) for c in ("doc", "tid", "at")), *empty, pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=_STEP)
+        anchor = b.column("anchor").to_numpy(zero_copy_only=False)
+        known = [b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("known_left", "known_right")]
+        before = [_prefixes(words) for words, _ in mine]
+        for side in (0, 1):
+            on = np.flatnonzero(~own & (common[side] < mine[side][1]))
+            if not len(on):
+                continue
+            k = [known[0][on], known[1][on]]
+            k[side] = common[side][on] + 1
+            key = mix64(mix64(anchor[on].view(np.uint64) * _C + before[0][on, k[0]]) + before[1][on, k[1]] * _C + (k[0] * 64 + k[1]).astype(np.uint64))
+            most = [np.full(len(on), width), np.full(len(on), width)]
+            most[1 - side] = width - k[side]  # of a window that reaches beyond the parting word
+            rows, none = pa.array(on), pa.nulls(len(on), pa.int32())
+            cells = [_cells(words[on], np.minimum(n[on], m)) for (words, n), m in zip(mine, most, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(anchor[on]), *(pa.array(x.astype(np.int32)) for x in k), *(b.column(c).take(rows) for c in ("doc", "tid", "at")), *cells, none, none], names=_STEP)
+
+
 def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
-    """Ranges of words (doc, tid, lo, hi) that windows cover whose words start earlier elsewhere."""
+    """Ranges of words (doc, tid, lo, hi) that match words which start earlier elsewhere, of a window at least."""
     found = written(seeds(docs, window), "seeds")
     once = found.where(~F.col("again")).drop("again")
     shared = once.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     near = written(once.join(shared, "anchor"), "shared")
-    first = F.min(F.struct("doc", "lo", "tid", "hi")).alias("first")
-    classes = near.groupBy("anchor", "context").agg(first, F.count(F.lit(1)).alias("n"))
-    later = (F.col("doc") != F.col("first.doc")) | (F.col("lo") != F.col("first.lo"))
-    by_class = near.join(classes.where("n > 1").select("anchor", "context", "first"), ["anchor", "context"]).where(later).select("doc", "tid", "lo", "hi")
-    several = near.groupBy("anchor").agg(F.min("context").alias("c0"), F.max("context").alias("c1")).where("c0 != c1").select("anchor")
-    heads = classes.join(several, "anchor").groupBy(F.col("first.doc").alias("doc"), F.col("first.tid").alias("tid"))
-    at = heads.agg(F.collect_list(F.struct("anchor", F.col("first.lo").alias("lo"), F.col("first.hi").alias("hi"))).alias("at"))  # of one text: no longer than the text
-    single = written(_keyed(docs).join(at, ["doc", "tid"]).mapInArrow(lambda it: _windows(it, window), "anchor bigint, hash bigint, doc bigint, tid int, lo int"), "windows")
-    heads = single.groupBy("anchor", "hash").agg(F.min(F.struct("doc", "lo")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "hash", "first")
-    by_window = single.join(heads, ["anchor", "hash"]).where(later).select("doc", "tid", "lo", (F.col("lo") + window).alias("hi"))
-    return found.where("again").select("doc", "tid", "lo", "hi").union(by_class).union(by_window)
+    first = F.min(F.struct("doc", "lo", "tid", "hi", "at")).alias("first")
+    classes = written(near.groupBy("anchor", "context").agg(first).select("anchor", "context", "first.*"), "classes")
+    by_class = near.join(classes.select("anchor", "context", "doc", "lo"), ["anchor", "context", "doc", "lo"], "left_anti").select("doc", "tid", "lo", "hi")
+    several = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    of_text = classes.join(several, "anchor").groupBy("doc", "tid").agg(F.collect_list(F.struct("anchor", "lo", "hi", "at")).alias("seeds"))  # no longer than the text
+    rows = written(_keyed(docs).join(of_text, ["doc", "tid"]).mapInArrow(_contexts, _ROWS), "contexts")
+    spans = found.where("again").select("doc", "tid", "lo", "hi").union(by_class)
+    while True:
+        hubs = rows.groupBy("key").agg(F.min(F.struct("doc", "at", "tid", "left", "right")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        step = written(rows.join(hubs, "key").mapInArrow(lambda it: _extend(it, window), _ROWS + ", lo int, hi int"), "matches")
+        spans = spans.union(step.where("lo is not null").select("doc", "tid", "lo", "hi"))
+        rows = step.where("key is not null").drop("lo", "hi").dropDuplicates(["key", "doc", "at", "tid"])
+        if rows.isEmpty():
+            return spans
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, keep: list[str] | None = None, with_text: bool = True) -> DataFrame:

@@ -18,7 +18,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfarer.llm.common import held_out, slices
@@ -186,17 +186,27 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, fit_rows: int = 2500) -> M
 SCHEMA = "doc_id bigint, score double, predicted int"
 
 
-def toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
-    """One row per document: doc_id, score and predicted."""
+def _sent(spark: SparkSession, machine: Machine):
+    """The machine for tasks: only the terms it uses, 2**BITS at most."""
     used = np.flatnonzero((machine.weights != 0) | (machine.factors != 0).any(1) | (machine.weak != 0).any(1)).astype(np.int32)
-    parts = docs.sparkSession.sparkContext.broadcast((machine.bias, used, machine.weights[used], machine.factors[used], machine.scale, machine.weak[used]))  # 2**BITS terms at most
+    parts = spark.sparkContext.broadcast((machine.bias, used, machine.weights[used], machine.factors[used], machine.scale, machine.weak[used]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def load() -> Machine:
         bias, at, w, v, scale, u = parts.value
         weights, factors, weak = np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, v.shape[1]), np.float32), np.zeros((1 << BITS, u.shape[1]), np.float32)
         weights[at], factors[at], weak[at] = w, v, u
-        m = Machine(bias, weights, factors, scale, weak)
-        for b in slices(batches, 4_000_000):
+        return Machine(bias, weights, factors, scale, weak)
+
+    return load
+
+
+def toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
+    """One row per document: doc_id, score and predicted."""
+    load = _sent(docs.sparkSession, machine)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = load()
+        for b in slices(batches, 1_000_000):
             s = m.score(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
@@ -205,10 +215,11 @@ def toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
 
 def without_toxic(docs: DataFrame, machine: Machine) -> DataFrame:
     """The rows of docs, with all their columns, that are not predicted toxic."""
-    parts = docs.sparkSession.sparkContext.broadcast(machine)  # 2**BITS weights and factors
+    load = _sent(docs.sparkSession, machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 4_000_000):
-            yield b.filter(pa.array(parts.value.score(b.column("text").cast(pa.string())) < 0.5))
+        m = load()
+        for b in slices(batches, 1_000_000):
+            yield b.filter(pa.array(m.score(b.column("text").cast(pa.string())) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)

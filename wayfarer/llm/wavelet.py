@@ -210,7 +210,7 @@ def write_shards(docs: DataFrame, path: str, out: str, end_id: int = 2, shard_id
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in slices(batches, 4_000_000):
+        for b in slices(batches):
             flat, count = enc.encode_arrow(b.column("text"))
             total = count + 1
             ids = np.full(int(total.sum()), end_id, enc.dtype if end_id < enc.size else "<u4")
@@ -245,7 +245,7 @@ def write_shards(docs: DataFrame, path: str, out: str, end_id: int = 2, shard_id
             store.move(f"{root}/.{file}-{TaskContext.get().taskAttemptId()}", f"{root}/{file}")
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in ((part, pa.int32()), (seq, pa.int32()), (before, pa.int64()), (len(ids), pa.int64()), (len(doc), pa.int64()), (file, pa.string()))], names=["part", "seq", "before", "n_ids", "n_docs", "file"])
 
-        for b in slices(batches, 4_000_000, "ids"):
+        for b in slices(batches, 2_000_000, "ids"):
             col = b.column("ids").cast(pa.large_binary())
             _, offs, data = col.buffers()
             offs = np.frombuffer(offs, np.int64)[col.offset : col.offset + len(col) + 1]
