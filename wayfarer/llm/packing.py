@@ -1,15 +1,20 @@
 """Best-fit packing of tokenised documents into sequences of bounded length.
 
-Bulk-synchronous best-fit, longest first. Documents and gaps are both kept sorted by size. As sizes are whole numbers of at
-most max_len tokens, each sorted side is described completely by its run lengths: how many documents have each length, how
-many open sequences have each gap. One sweep matches the documents of a length with the successor gap (the smallest that
-holds them); if there are fewer such gaps than documents the conflict is resolved by rank, the lower ranks win and the rest
-go on to the next larger gap or open new sequences; the gaps are updated, and the sweep is repeated for what is left.
-
-The sweeps run over run lengths, of which there are at most max_len for documents and max_len for gaps whatever the input,
-so they take a moment on the driver. What is as large as the input stays distributed: tokenisation, the ranks within each
-length (a count for each task and length, then a prefix sum over tasks for each length apart, so that one very common length
-is no single task's load), and the placement of every piece by its rank.
+Bulk-synchronous best-fit. Documents and gaps (what open sequences have left) are kept sorted by size. In a round, a sweep from
+the largest size down gives each document its successor, the smallest gap that holds it and that no larger document has taken;
+documents of one length that want the same gaps are told apart by rank. Then all gaps that were taken are updated at once, and
+the round is repeated for the documents that are left. Where the longest find no gap, as many new sequences are opened as they
+need at least: one for each document of more than half of max_len, or else one for each max_len tokens of the documents that no
+gap holds and that are longer than half of the longest.
+
+Sizes are whole numbers of at most max_len tokens, so a sorted side is described completely by its run lengths: how many documents
+have each length, how many sequences have each gap. A document is known by its length and its rank among those of that length, a
+sequence by its gap and its rank among those of that gap; a sweep matches intervals of ranks, of which there are at most
+4 * max_len in a round whatever the input, and says where the intervals of sequences go in the next round. So the sweeps take a
+moment on the driver, whose state is two arrays of max_len counts and the rounds' intervals. What is as large as the input stays
+distributed: tokenisation, the ranks within each length (a count for each task and length, then a prefix sum over tasks for each
+length apart, so that one very common length is no single task's load), and the placement of every piece, which follows its
+interval and then its sequence through the rounds.
 
 Defined results: null and empty texts are one piece, the end id; null and repeated ids pass through as pieces of their own;
 an empty table gives an empty result; extra columns are ignored. A document longer than max_len is cut into pieces of
@@ -19,8 +24,8 @@ max_len, the last of which may be shorter; no other document is cut.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -66,40 +71,87 @@ def pieces(docs: DataFrame, path: str, max_len: int, end_id: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
 
-def sweep(counts: dict[int, int], max_len: int) -> np.ndarray:
-    """Best-fit over run lengths. Rows (length, first rank, number, first sequence, offset): documents of that length with
-    ranks from the first one go, one each, to consecutive sequences, at that offset."""
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    sizes: list[int] = []  # the gaps that are open, sorted
-    out, bins = [], 0
-
-    def put(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in gaps:
-                insort(sizes, gap)
-                gaps[gap] = []
-            gaps[gap].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, count = 0, counts[length]
-        while rank < count:
-            at = bisect_left(sizes, length)
-            if at == len(sizes):
-                n = -(-(count - rank) // (max_len // length))
-                put(max_len, bins, n)
-                bins += n
-                continue
-            gap = sizes[at]
-            first, n = gaps[gap].pop()
+@dataclass
+class Rounds:
+    """The result of all rounds. Places of sequences are numbers gap * wide + rank; documents are length * wide + rank."""
+
+    wide: int
+    docs: np.ndarray  #: rows (first document, round, documents to a sequence, first sequence's place), sorted
+    moves: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  #: of each round: first place, places, and where the first goes; sorted
+
+    def place(self, length: np.ndarray, rank: np.ndarray, max_len: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sequence and the offset of each document."""
+        if not len(length):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        own = self.docs[np.searchsorted(self.docs[:, 0], length * self.wide + rank, "right") - 1]
+        which = length * self.wide + rank - own[:, 0]
+        offset = max_len - own[:, 3] // self.wide + which % own[:, 2] * length
+        at, began = own[:, 3] + which // own[:, 2], own[:, 1]
+        order = np.argsort(began, kind="stable")
+        at, began = at[order], began[order]
+        for k, (first, n, to) in enumerate(self.moves):
+            upto = int(np.searchsorted(began, k, "right"))
+            if upto and len(first):
+                i = np.searchsorted(first, at[:upto], "right") - 1
+                on = (i >= 0) & (at[:upto] < first[i] + n[i])
+                at[:upto] = np.where(on, to[i] + at[:upto] - first[i], at[:upto])
+        out = np.empty_like(at)
+        out[order] = at
+        return out, offset
+
+
+def sweep(docs: np.ndarray, gaps: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """One sweep over numbers of documents and of gaps by size. Rows (length, documents, documents to a gap, gap, gaps): so many of
+    that length go to so many of the gaps of that size, which are taken from the highest rank down. Both arrays are updated, but
+    for the gaps that come out of it."""
+    stack: list[int] = []  # gaps that are left, the smallest last
+    out = []
+    for size in range(len(docs) - 1, 0, -1):
+        if gaps[size]:
+            stack.append(size)
+        while docs[size] and stack:
+            gap = stack[-1]
+            each = gap // size
+            n = min(int(gaps[gap]), int(docs[size]) // each)
+            if n:
+                out.append((size, n * each, each, gap, n))
+            elif docs[size]:  # too few to fill one as far as they could
+                n, each = 1, int(docs[size])
+                out.append((size, each, each, gap, 1))
+            docs[size] -= n * each
+            gaps[gap] -= n
             if not gaps[gap]:
-                del gaps[gap]
-                sizes.pop(at)
-            m = min(n, count - rank)
-            out.append((length, rank, m, first, max_len - gap))
-            put(gap, first + m, n - m)
-            put(gap - length, first, m)
-            rank += m
-    return np.array(out, np.int64).reshape(-1, 5)
+                stack.pop()
+    return out
+
+
+def rounds(counts: dict[int, int], max_len: int) -> Rounds:
+    """All rounds for so many documents of each length."""
+    docs, gaps = np.zeros(max_len + 1, np.int64), np.zeros(max_len + 1, np.int64)
+    for length, n in counts.items():
+        docs[length] = n
+    wide = int(docs.sum()) + 1
+    sizes, used, rows, moves = np.arange(max_len + 1), np.zeros(max_len + 1, np.int64), [], []
+    while docs.any():
+        longest = int(np.flatnonzero(docs)[-1])
+        if not gaps[longest:].any():
+            big = sizes > max(longest // 2, int(np.flatnonzero(gaps)[-1]) if gaps.any() else 0)
+            alone = sizes > max_len // 2
+            gaps[max_len] += int(docs[alone].sum()) or -(-int((docs * sizes)[big].sum()) // max_len)
+        left = gaps.copy()
+        found, moved = sweep(docs, gaps), []
+        for length, n, each, gap, taken in found:
+            left[gap] -= taken
+            rows.append((length * wide + int(used[length]), len(moves), each, gap * wide + int(left[gap])))
+            used[length] += n
+            moved.append((gap * wide + int(left[gap]), taken, gap - each * length))
+        first, number, to = [], [], []
+        for place, taken, gap in moved:
+            first.append(place), number.append(taken), to.append(gap * wide + int(gaps[gap]))
+            gaps[gap] += taken
+        order = np.argsort(np.array(first, np.int64))
+        moves.append(tuple(np.array(x, np.int64)[order] for x in (first, number, to)))
+    return Rounds(wide, np.array(sorted(rows), np.int64).reshape(-1, 4), moves)
 
 
 def pack(docs: DataFrame, path: str, max_len: int = 2048, end_id: int = 0) -> DataFrame:
@@ -109,17 +161,13 @@ def pack(docs: DataFrame, path: str, max_len: int = 2048, end_id: int = 0) -> Da
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = per_task.select("length", "part", F.coalesce(before, F.lit(0)).alias("before"))
     counts = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}  # at most max_len rows
-    runs = sweep(counts, max_len)
-    runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
-    least = np.array([[k, r] for k, r in runs[:, :2]], np.int64).reshape(-1, 2)
-    wide = 1 + max([0, *counts.values()])
-    keys = least[:, 0] * wide + least[:, 1]  # length * (most ranks) + rank: sorted, and below 2**63
+    plan = docs.sparkSession.sparkContext.broadcast(rounds(counts, max_len))  # 4 * max_len intervals a round at most
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             length, rank = (b.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
-            run = runs[np.searchsorted(keys, length * wide + rank, "right") - 1] if len(rank) else np.empty((0, 5), np.int64)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in _OUT[:5]), pa.array(run[:, 3] + rank - run[:, 1]), pa.array(run[:, 4])], names=_OUT)
+            sequence, offset = plan.value.place(length, rank, max_len)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in _OUT[:5]), pa.array(sequence), pa.array(offset)], names=_OUT)
 
     ranked = made.join(offsets, ["length", "part"]).select(*_OUT[:5], (F.col("local_rank") + F.col("before")).alias("rank"))
     return ranked.mapInArrow(place, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
