@@ -24,6 +24,69 @@ def test_language(spark):
     assert np.mean([r["rejected"] for r in rows]) < 0.01
 
 
+def test_language_brute_force(spark):
+    """Every text's language and score, by loops over n-grams and centroids, from the fitted numbers."""
+    import math
+
+    from wayfarer.llm.langid import DIM, UNKNOWN, fit_on_documents, identify
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = fit_on_documents(docs, fit_rows=40)
+    assert len(model.langs) > len(set(model.langs)) > 1  # several centroids each
+
+    def mixed(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 % 2**64
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB % 2**64
+        return x ^ x >> 31
+
+    def brute(text):
+        letters = re.sub(r"_+", "_", "".join(c if c.isalpha() else "_" for c in (text or "").lower())).lstrip("_")
+        code = [0 if c == "_" else ord(c) for c in letters]
+        counts = {}
+        for n in (1, 2, 3):
+            for k in range(len(code) - n + 1):
+                h = n
+                for c in code[k : k + n]:
+                    h = (h * 0x100000001B3 + c) % 2**64
+                counts[mixed(h) >> 52] = counts.get(mixed(h) >> 52, 0) + 1
+        if not any(code):
+            return UNKNOWN, 0.0
+        v = {t: math.log1p(n) * float(model.idf[t]) for t, n in counts.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cos = [sum(x * float(c[t]) for t, x in v.items()) / norm for c in model.centroids]
+        best = max(range(len(cos)), key=cos.__getitem__)
+        return model.langs[best], cos[best]
+
+    assert DIM == 1 << 12
+    rows = {r["doc_id"]: r["text"] for r in docs.collect() if len(r["text"] or "") < 20_000}
+    for r in identify(docs, model).collect():
+        if r["doc_id"] in rows:
+            lang, score = brute(rows[r["doc_id"]])
+            assert (r["lang_pred"], r["score"]) == (lang, pytest.approx(min(1, max(0, score)), abs=1e-4))
+
+
+def test_machine_brute_force():
+    """A logit is the sum over all terms and over all pairs of terms."""
+    import itertools
+
+    import pyarrow as pa
+
+    from wayfarer.llm.toxicity import BITS, Machine, features
+
+    rng = np.random.default_rng(5)
+    m = Machine(-0.3, *(rng.normal(0, 0.1, shape).astype(np.float32) for shape in (1 << BITS, (1 << BITS, 3))), 0.7, rng.normal(0, 0.1, (1 << BITS, 3)).astype(np.float32))
+    column = pa.array(["one two three two", "", None, "a", "You, YOU and you; a b c d e f g", "x " * 500 + "long " + " ".join(map(str, range(300)))])
+    term, count = features(column)
+    got, at = m.logits(term, count), np.cumsum(count) - count
+    assert count.tolist()[:4] == [3, 0, 0, 1]
+    for k, n in enumerate(count.tolist()):
+        t = term[at[k] : at[k] + n]
+        pairs = sum(float(m.factors[i].astype(float) @ m.factors[j]) + float(m.weak[i].astype(float) @ m.weak[j]) / n for i, j in itertools.combinations(t, 2))
+        assert got[k] == pytest.approx(-0.3 + sum(float(m.weights[i]) for i in t) + 0.7 * pairs, abs=1e-3)
+
+
 def test_language_odd(spark):
     from pyspark.sql import functions as F
 
@@ -127,6 +190,8 @@ def test_extraction(spark):
 
 
 PAGES = [
+    ('<div class="wrapper menu-open"><article><p>Body one two three.</p></article></div>', "Body one two three."), ('<article><p title="' + ">" * 9 + '">kept</article>', "kept"), ("<article><p title='a > b'>kept", "kept"),
+    ("<div class=ad>Advert</div><article><h1>A title of this page</h1><p>" + "many words of text " * 9 + "</article>", "A title of this page\n" + ("many words of text " * 9).strip()),
     (None, ""), ("", ""), ("no tags", ""), ("<p", ""), ("<article><p>a &lt; b &am", "a < b &am"), ("<article><p>one<br>two&nbsp;\n three</p><!-- <p>no</p> --><p>x > y <i>z", "one two three\nx > y z"),
     ("<body><nav><a href=x>Home</a></nav><main><h1>T</h1><p>Body text.</p><aside>Aside</aside><div class='comments'><p>Nice one!</p></div></main><footer>f</footer>", "T\nBody text."),
     ('<article><p title="a > b">kept</p><form><p>mail</p></form><script>var a="</p>";</script><div class="ad">buy</div><ul><li><a href="/r">Related</a></li></ul></article>', "kept"),
@@ -158,6 +223,34 @@ def test_marked_articles(page):
     assert found == ["T", LONG.strip(), LAST] + ([LONG.strip()] if "comments-open" in page else [])
 
 
+def test_without_article_tags():
+    """Nothing but the blocks' lengths and links, and their neighbours', tells the text from what stands around it."""
+    from wayfarer.llm.extraction import main_text
+
+    menu = "<div><a href=/>Home</a> <a href=/n>News</a></div>"
+    body = "<div><h1>How the boats were moved</h1><p>{0}</p><p>{1}</p><p>{0} <a href=/r>as told before</a></p></div>".format(LONG, "And then it rained.")
+    end = "<div><a href=/1>Another page about boats</a> <a href=/2>Yet another one</a></div><div>Printed by the river press</div>"
+    want = f"How the boats were moved\n{LONG.strip()}\nAnd then it rained.\n{LONG.strip()} as told before"
+    assert main_text(menu + body + end) == want
+    assert main_text(f"<table><tr><td>{menu}</td><td>{body}</td></tr></table>{end}") == want
+    assert main_text(menu + end) == ""
+
+
+def test_tree_uses_neighbours():
+    from wayfarer.llm.extraction import tree
+
+    used = set()
+
+    def walk(node):
+        if not isinstance(node, int):
+            used.add(node[0])
+            walk(node[2]), walk(node[3])
+
+    walk(tree())
+    assert used & {2, 3}, "the block before"
+    assert used & {4, 5}, "the block after"
+
+
 TAGS = [
     '<p data-x="' + "<b>x</b>" * 20 + '">kept</p>', "<p title='a > b'>kept</p>", "<p onclick='if (a > b) { say(\"<p>no</p>\") }' class=x>kept</p>", '<p title="it\'s > that">kept</p>', "<p title=it's>kept</p>", "<p a = '>' b='>'>kept</p>",
     "<p a=>kept</p>", '<p "x>kept</p>', '<p title="never closed>kept</p>', "<a href=/x?y='z'>kept</a>", "<div data-x=' class=ad ' data-y=ad>kept</div>", "<p>kept<br/></p>", "<p a='1'b=\"2>3\">kept</p>",

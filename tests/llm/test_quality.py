@@ -32,6 +32,43 @@ def test_counts(spark, odd):
     assert got == sorted(((r["doc_id"], *brute(r["text"])) for r in docs.collect()), key=str)
 
 
+PHRASES = [
+    "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "we use cookies", "we uses cookies", "site use cookies", "site uses cookies", "accept cookies", "accept all cookies", "click here", "read more",
+    "subscribe to", "subscribe now", "enable javascript", "lorem ipsum", "skip to content", "skip to main content", "back to top", "share this", "share on", "follow us", "copyright \u00a9", "\u00a9", "powered by",
+]
+
+
+def brute_kept(text):
+    """The verdict by plain loops over lines, words and phrases."""
+    text = text or ""
+    n, chars, _, _, repeats, failed = brute(text)
+    seen, lost = set(), 0
+    for line in text.split("\n"):
+        words = WORD.findall(line)
+        if not words:
+            continue
+        separators = sum(w in ("|", "||", ">", ">>", "\u00bb", "\u00ab", "\u00b7", "\u2022", "/", "::", "\u2192", "-", "\u2013") for w in words)
+        marked = [w for w in words if set(w) & set("#*$%&|<>")]
+        low = line.lower()
+        phrase = any(p in low for p in PHRASES) or re.search(r"sign (in|up)(?!\w)|log ?in(?!\w)", low)
+        bad = separators > 0.15 * len(words) and (marked or len(words) > 3) or len(marked) > 0.3 * len(words)
+        bad = bad or sum(w[-2:] in ("!!", "??") for w in words) > 0.5 * len(words) or len(words) <= 30 and phrase
+        if bad or line in seen:
+            lost += sum(map(len, words))
+        seen.add(line)
+    return not failed and lost <= 0.5 * chars
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_kept(spark, odd):
+    from wayfarer.llm.quality import quality_rules
+
+    docs = odd_docs(spark) if odd else spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text = [(r["doc_id"], brute_kept(r["text"])) for r in docs.collect()]
+    assert sorted(((r["doc_id"], r["kept"]) for r in quality_rules(docs).collect()), key=str) == sorted(text, key=str)
+    assert odd or 0 < sum(k for _, k in text) < len(text)
+
+
 def test_empty(spark):
     from wayfarer.llm.quality import quality_rules
 

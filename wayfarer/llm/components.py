@@ -2,8 +2,9 @@
 
 A large star hangs every larger neighbour of a node on its smallest neighbour, a small star every smaller one; repeated, each
 component becomes one star around its smallest node, in a number of rounds that grows with the logarithm of its diameter. Only
-smallest neighbours are gathered for a node, by an aggregation that combines before it shuffles, so that a node with very many
-neighbours is no task's load. Each round is a written table: nothing is collected, and lost executors cost a round at most.
+smallest neighbours are gathered for a node, by an aggregation that combines before it shuffles. They are written before edges are
+joined with them: between two plain tables Spark splits the edges of a node with very many neighbours over tasks. Each round is a
+written table too: nothing is collected, and lost executors cost a round at most.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ def components(links: DataFrame) -> DataFrame:
     edges, n = written(edges, "edges"), None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
+        low = written(both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low")), "low")
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
         large = written(large, "large")
-        low = large.groupBy("u").agg(F.min("v").alias("low"))
+        low = written(large.groupBy("u").agg(F.min("v").alias("low")), "low")
         small = _hang(large, low).select(F.col("v").alias("u"), F.col("low").alias("v")).union(low.select("u", F.col("low").alias("v"))).where(F.col("u") != F.col("v")).distinct()
         edges = written(small, "edges")
         # a set of stars: every u has one v, and no v is a u. The sums tell whether a round has changed anything.

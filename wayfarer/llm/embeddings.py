@@ -5,8 +5,10 @@ fitted on a bounded sample (fit_rows classes); every class is assigned to its ne
 whose cosine is at most `margin` below. In a cell, residents are compared with each other and with visitors. A pair that could be
 found in both of its vectors' cells counts in the one with the smaller number, so numbers of links are exact for what is found.
 
-A cell is dealt out in blocks of `block` vectors, and each task multiplies one pair of blocks, so no task holds a whole cell. A
-task gives back numbers of links and a spanning forest of the links it found, not the pairs.
+A cell is dealt out in blocks of `block` vectors, each packed into one row. Each pair of a cell's blocks is multiplied by itself, so
+no task holds a whole cell, and what is copied for the pairs are blocks, not vectors. The number of links of each vector in a dense
+group is the number of its pairs, so that work grows with the square of such a group. What comes back of a pair of blocks is numbers
+of links and a spanning forest of the links found, not the links.
 
 How many links are found: two vectors with cosine 0.9 or more differ in their cosine with any third by little; a pair is missed
 only if neither vector visits the other's cell. tests/llm/test_vectors.py measures that against brute force (0.9995 without
@@ -92,17 +94,31 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, margin: f
                 yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("copies"), b.column("x"), pa.array(home), pa.array(visits, pa.list_(pa.int32()))], names=["rep", "copies", "x", "home", "visits"])
 
     placed = written(classes.mapInArrow(assign, "rep bigint, copies bigint, x array<double>, home int, visits array<int>"), "placed")
-    stays = placed.select("rep", "home", "visits", F.explode(F.concat(F.array("home"), "visits")).alias("cell"))
-    blocks = stays.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = stays.select("rep", "cell").join(blocks, "cell").select("rep", "cell", F.pmod(F.hash("rep"), "blocks").alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("rep", "cell", "mine", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
+    stays = placed.withColumn("cell", F.explode(F.concat(F.array("home"), "visits")))
+    blocks = written(stays.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "blocks")
+    dealt = stays.join(blocks, "cell").withColumn("mine", F.pmod(F.hash("rep"), "blocks"))
+
+    def pack(table: pa.Table) -> pa.Table:
+        """One row of lists of a block's rows; vectors lie one after another."""
+        b = table.combine_chunks()
+        flat = b.column("x").combine_chunks().flatten()
+        lists = {c: pa.ListArray.from_arrays([0, b.num_rows], b.column(c).combine_chunks()) for c in ("rep", "copies", "home", "visits")}
+        return pa.table({"cell": b.column("cell")[:1], "mine": b.column("mine")[:1], "blocks": b.column("blocks")[:1], **lists, "x": pa.ListArray.from_arrays([0, len(flat)], flat)})
+
+    packed = dealt.groupBy("cell", "mine").applyInArrow(pack, "cell int, mine int, blocks int, rep array<bigint>, copies array<bigint>, home array<int>, visits array<array<int>>, x array<double>")
+    packed = written(packed, "packed")
+    dealt = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("cell", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "rep", "copies", "home", "visits", "x")
 
     def compare(table: pa.Table) -> pa.Table:
-        b = table.combine_chunks().sort_by("rep")
-        rep, copies, home, mine = (b.column(c).to_numpy() for c in ("rep", "copies", "home", "mine"))
+        b = table.combine_chunks().sort_by("mine")
+        size = b.column("rep").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+        rep, copies, home = (b.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("rep", "copies", "home"))
+        mine = np.repeat(b.column("mine").to_numpy(), size)
         cell, p, q = (b.column(c)[0].as_py() for c in ("cell", "p", "q"))
-        v = _matrix(b.column("x").combine_chunks(), len(b.column("x")[0]))
-        visits = b.column("visits").combine_chunks()
+        flat = b.column("x").combine_chunks().flatten()
+        v = _unit(flat.to_numpy(zero_copy_only=False).reshape(len(rep), -1))
+        visits = b.column("visits").combine_chunks().flatten()
         other = np.repeat(np.arange(len(rep)), visits.value_lengths().to_numpy(zero_copy_only=False))
         goes = set(zip(other.tolist(), visits.flatten().to_numpy(zero_copy_only=False).tolist(), strict=True))
         left, right = np.flatnonzero(mine == p), np.flatnonzero(mine == q)
@@ -130,7 +146,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, margin: f
             }
         )
 
-    found = dealt.join(placed, "rep").groupBy("cell", "p", "q").applyInArrow(compare, "rep bigint, links bigint, a bigint, b bigint")
+    found = dealt.groupBy("cell", "p", "q").applyInArrow(compare, "rep bigint, links bigint, a bigint, b bigint")
     found = written(found, "found")
     numbers = found.where("rep is not null").groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.where("a is not null").select("a", "b")).withColumnsRenamed({"node": "rep", "component": "root"})

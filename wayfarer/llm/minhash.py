@@ -5,11 +5,13 @@ first collection with one of the second, so tables ** 2 keys come from 2 * table
 2 * tables ** 2 * rows. Two sets meet unless they differ in all of one collection: at similarity s with probability
 (1 - (1 - s ** rows) ** tables) ** 2. The defaults (14 and 3) lose 9 of 100,000 pairs at s = 0.8, and far fewer above.
 
+Minima can miss a pair: those of no common key are never compared, about 1 in 10,000 at the threshold.
+
 Groups. Documents with equal sets are one class, stood for by its smallest doc_id, before anything is compared. The classes
 that share a key are a bucket; buckets are read in sorted order with no state but the first class, the bucket's hub, and each
-class is compared with its hub only. That connects nearly everything without ever making all pairs of a group. Then, so that no
-link is lost, the classes that did not end in their hub's component are compared with all classes that met under that component:
-block by block, and on full sets wherever two agree in size and in a sketch of their minima.
+class is compared with its hub only. That connects nearly everything without ever making all pairs of a group. Then the classes
+that did not end in their hub's component are compared with all classes that met under that component: block by block, and on full
+sets wherever two agree in size and in a sketch of their minima (which a pair at the threshold fails once in 100,000).
 
 Comparisons are dealt out by hub, in portions of `portion` classes, so that a hub with very many classes is many tasks' work.
 
@@ -166,7 +168,7 @@ def _confirm(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Ite
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int, portion: int = 256) -> DataFrame:
     """Of pairs (a, b) of classes, those with 100 * intersection >= percent * union, on the full sets of their texts (rep, text)."""
-    hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / portion).cast("int").alias("portions"))
+    hubs = written(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / portion).cast("int").alias("portions")), "hubs")  # written, so that joins with a hub of very many pairs can be split
     dealt = pairs.join(hubs, "a").select("a", F.pmod(F.hash("b"), "portions").alias("portion"), "b")
     others = dealt.join(texts.withColumnRenamed("rep", "b"), "b").select("a", "portion", "b", "text")
     own = hubs.join(texts.withColumnRenamed("rep", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"), F.col("a").alias("b"), "text")
@@ -185,7 +187,7 @@ def _across(placed: DataFrame, classes: DataFrame, texts: DataFrame, sketch: lis
     met = written(met, "met")
     stray = F.col("own") != F.col("h")
     sizes = met.groupBy("h").agg(F.greatest(F.lit(1), F.ceil(F.sum(stray.cast("int")) / block)).cast("int").alias("blocks"), F.ceil(F.count(F.lit(1)) / portion).cast("int").alias("portions"))
-    of = met.join(sizes, "h")
+    of = met.join(written(sizes, "sizes"), "h")
     mine, yours = F.pmod(F.hash("rep"), "blocks").alias("block"), F.pmod(F.hash("rep", F.lit(1)), "portions").alias("portion")
     left = of.where(stray).select("h", "rep", "own", mine, F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"), F.lit(True).alias("first"))
     right = of.select("h", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), yours, F.lit(False).alias("first"))
@@ -243,7 +245,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tables:
 
     pairs = written(buckets.where((F.col("rep") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     links = written(confirmed(pairs, texts, width, percent), "links")
-    found = components(links)
+    found = written(components(links), "found")
 
     def label(df: DataFrame, column: str, to: str) -> DataFrame:
         named = found.select(F.col("node").alias(column), F.col("component").alias(to))

@@ -12,7 +12,9 @@ each hundred words. An anchor's context is all windows that have it as their anc
   more is a repeat. Occurrences that part from the earliest one at the same word can have more in common with each other than with
   it; so those that share the word at which they part, on the left or on the right, are paired with the earliest of them in the
   same way, and so on. Only windows that reach beyond that word are still looked for, so each round adds a word at least to what
-  is common and takes one away at the other end: there are window - SEED rounds at most, and few occurrences after the first.
+  is common and takes one away at the other end: there are window - SEED rounds at most, and few occurrences after the first. The
+  rounds of keys with at most LOCAL occurrences are made within a task, from which nothing but matches comes back; those of keys
+  with more are joins between written tables, which Spark can split.
 
 Matches merge into maximal repeats, and their words are removed. They are judged on the input, so the result does not depend on
 the order of work. Words are compared by 64-bit hashes, one by one.
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,7 @@ from wayfarer.llm.common import mix64, slices, written
 from wayfarer.llm.terms import word_hashes
 
 SEED = 5  #: words of a seed
+LOCAL = 256  #: occurrences of a key that one task works on alone
 BASE = 0x2545F4914F6CDD1D  #: odd, so that its powers have inverses modulo 2**64
 FIRST = -(1 << 63)
 
@@ -177,38 +181,127 @@ def _cells(words: np.ndarray, n: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((8 * np.concatenate([[0], np.cumsum(n)])).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(words[np.arange(words.shape[1]) < n[:, None]]))])
 
 
+def _prefixes(words: np.ndarray) -> np.ndarray:
+    """Hashes of the first 0, 1, 2 ... words of each row."""
+    out = np.zeros((words.shape[0], words.shape[1] + 1), np.uint64)
+    for k in range(words.shape[1]):
+        out[:, k + 1] = mix64(out[:, k] * _C + words[:, k])
+    return out
+
+
+@dataclass
+class Rows:
+    """Occurrences of seeds: key, anchor, how many words are known to be common with all of the key (left, right), doc, tid, at; and
+    the words of the context on either side, nearest first, with their numbers."""
+
+    numbers: list[np.ndarray]
+    sides: list[tuple[np.ndarray, np.ndarray]]
+
+    def take(self, i: np.ndarray) -> Rows:
+        return Rows([x[i] for x in self.numbers], [(w[i], n[i]) for w, n in self.sides])
+
+    def __len__(self) -> int:
+        return len(self.numbers[0])
+
+
+def _loaded(b: pa.RecordBatch, width: int) -> Rows:
+    kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64, np.int64)
+    numbers = [b.column(c).to_numpy(zero_copy_only=False).astype(np.int64).view(k) for c, k in zip(_STEP[:7], kinds, strict=True)]
+    return Rows(numbers, [_matrix(b.column(c), width) for c in ("left", "right")])
+
+
+def _extended(rows: Rows, hubs: tuple[list[np.ndarray], list[tuple[np.ndarray, np.ndarray]]], window: int) -> tuple[list[np.ndarray], list[Rows]]:
+    """Of occurrences, each with its hub (doc, tid and at, and both sides' words) in the same place: matches of window words or more
+    (doc, tid, lo, hi), and the rows of occurrences that part from their hub within their context, under the keys of what is common
+    with those that part there with the same word."""
+    width, (key, anchor, left, right, doc, tid, at), known = window - SEED, rows.numbers, rows.numbers[2:4]
+    same = (doc == hubs[0][0]) & (at == hubs[0][2])
+    own = same & (tid == hubs[0][1])
+    common = [_common(x, y) for x, y in zip(rows.sides, hubs[1], strict=True)]
+    hit = np.flatnonzero(~same & (common[0] + SEED + common[1] >= window))
+    found = [doc[hit], tid[hit], at[hit] - common[0][hit], at[hit] + SEED + common[1][hit]]
+    before, out = [_prefixes(words) for words, _ in rows.sides], []
+    for side in (0, 1):
+        on = np.flatnonzero(~own & (common[side] < rows.sides[side][1]))
+        part = rows.take(on)
+        k = [known[0][on], known[1][on]]
+        k[side] = common[side][on] + 1
+        part.numbers[0] = mix64(mix64(anchor[on] * _C + before[0][on, k[0]]) + before[1][on, k[1]] * _C + (k[0] * 64 + k[1]).astype(np.uint64))
+        part.numbers[2:4] = k
+        words, n = part.sides[1 - side]
+        part.sides[1 - side] = words, np.minimum(n, width - k[side])  # of a window that reaches beyond the parting word
+        out.append(part)
+    return found, out
+
+
 def _extend(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Of occurrences, each with its hub (the key's earliest): matches of window words or more (lo, hi), and, for an occurrence
-    that parts from its hub within its context, rows under the keys of what is common with those that part there with its word."""
-    width = window - SEED
+    """One round for rows with their hub: matches (lo, hi), and rows for the next round."""
     for b in slices(batches, column="left"):
         hub = b.column("hub")
-        mine = [_matrix(b.column(c), width) for c in ("left", "right")]
-        theirs = [_matrix(hub.field(c), width) for c in ("left", "right")]
-        doc, at = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "at"))
-        same = (doc == hub.field("doc").to_numpy(zero_copy_only=False)) & (at == hub.field("at").to_numpy(zero_copy_only=False))
-        own = same & (b.column("tid").to_numpy(zero_copy_only=False) == hub.field("tid").to_numpy(zero_copy_only=False))
-        common = [_common(x, y) for x, y in zip(mine, theirs, strict=True)]
-        hit = np.flatnonzero(~same & (common[0] + SEED + common[1] >= window))
-        if len(hit):
-            lo, hi = at[hit] - common[0][hit], at[hit] + SEED + common[1][hit]
-            none, empty = [pa.nulls(len(hit), k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int32())], [pa.nulls(len(hit), pa.binary())] * 2
-            yield pa.RecordBatch.from_arrays([*none, *(b.column(c).take(pa.array(hit)) for c in ("doc", "tid", "at")), *empty, pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=_STEP)
-        anchor = b.column("anchor").to_numpy(zero_copy_only=False)
-        known = [b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("known_left", "known_right")]
-        before = [_prefixes(words) for words, _ in mine]
-        for side in (0, 1):
-            on = np.flatnonzero(~own & (common[side] < mine[side][1]))
-            if not len(on):
-                continue
-            k = [known[0][on], known[1][on]]
-            k[side] = common[side][on] + 1
-            key = mix64(mix64(anchor[on].view(np.uint64) * _C + before[0][on, k[0]]) + before[1][on, k[1]] * _C + (k[0] * 64 + k[1]).astype(np.uint64))
-            most = [np.full(len(on), width), np.full(len(on), width)]
-            most[1 - side] = width - k[side]  # of a window that reaches beyond the parting word
-            rows, none = pa.array(on), pa.nulls(len(on), pa.int32())
-            cells = [_cells(words[on], np.minimum(n[on], m)) for (words, n), m in zip(mine, most, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(anchor[on]), *(pa.array(x.astype(np.int32)) for x in k), *(b.column(c).take(rows) for c in ("doc", "tid", "at")), *cells, none, none], names=_STEP)
+        own = [hub.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc", "tid", "at")]
+        found, more = _extended(_loaded(b, window - SEED), (own, [_matrix(hub.field(c), window - SEED) for c in ("left", "right")]), window)
+        yield _matches(found)
+        for part in more:
+            none = pa.nulls(len(part), pa.int32())
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64), k) for x, k in zip(part.numbers, kinds, strict=True)), *(_cells(*s) for s in part.sides), none, none], names=_STEP)
+
+
+def _matches(found: list[np.ndarray]) -> pa.RecordBatch:
+    n, (doc, tid, lo, hi) = len(found[0]), found
+    none = [pa.nulls(n, k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]
+    return pa.RecordBatch.from_arrays([*none, pa.array(doc), pa.array(tid, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=_STEP)
+
+
+def _all_rounds(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """All rounds for rows that come sorted by key, each key with a bounded number of them."""
+    held: list[pa.RecordBatch] = []
+
+    def settle(rows: Rows) -> Iterator[pa.RecordBatch]:
+        while len(rows):
+            key, doc, tid, at = (rows.numbers[k] for k in (0, 4, 5, 6))
+            order = np.lexsort((tid, at, doc, key))
+            same = [np.zeros(len(order), bool) for _ in range(2)]
+            same[0][1:] = key[order][1:] == key[order][:-1]
+            same[1][1:] = same[0][1:] & (doc[order][1:] == doc[order][:-1]) & (at[order][1:] == at[order][:-1]) & (tid[order][1:] == tid[order][:-1])
+            order, new = order[~same[1]], ~same[0][~same[1]]  # the same occurrence on two ways to a key
+            head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+            several = ~(new & np.append(new[1:], True))
+            rows, hubs = rows.take(order[several]), rows.take(order[head[several]])
+            found, more = _extended(rows, ([hubs.numbers[k] for k in (4, 5, 6)], hubs.sides), window)
+            yield _matches(found)
+            rows = Rows([np.concatenate(x) for x in zip(*(m.numbers for m in more), strict=True)], [tuple(np.concatenate(x) for x in zip(*(m.sides[k] for m in more), strict=True)) for k in (0, 1)])
+
+    for b in slices(batches, column="left"):
+        key = b.column("key").to_numpy(zero_copy_only=False)
+        last = int(np.searchsorted(key, key[-1], "left"))
+        if held and last == 0 and held[-1].column("key")[-1].as_py() == key[0]:
+            held.append(b)
+            continue
+        whole = pa.Table.from_batches([*held, b.slice(0, last)]).combine_chunks()
+        held = [b.slice(last)]
+        for part in whole.to_batches():
+            yield from settle(_loaded(part, window - SEED))
+    if held:
+        for part in pa.Table.from_batches(held).combine_chunks().to_batches():
+            yield from settle(_loaded(part, window - SEED))
+
+
+def _settled(rows: DataFrame, window: int) -> DataFrame:
+    """Matches (doc, tid, lo, hi) of all rounds for written rows."""
+    spans, schema = None, _ROWS + ", lo int, hi int"
+    while True:
+        large = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LOCAL).select("key"), "large")  # fewer than one for LOCAL rows
+        small = rows.join(large, "key", "left_anti").repartition("key").sortWithinPartitions("key")
+        got = written(small.mapInArrow(lambda it: _all_rounds(it, window), schema).select("doc", "tid", "lo", "hi"), "matches")
+        spans = got if spans is None else spans.union(got)
+        if large.isEmpty():
+            return spans
+        rows = rows.join(large, "key")
+        hubs = written(rows.groupBy("key").agg(F.min(F.struct("doc", "at", "tid", "left", "right")).alias("hub")), "hubs")
+        step = written(rows.join(hubs, "key").mapInArrow(lambda it: _extend(it, window), schema), "step")
+        spans = spans.union(step.where("lo is not null").select("doc", "tid", "lo", "hi"))
+        rows = written(step.where("key is not null").drop("lo", "hi").dropDuplicates(["key", "doc", "at", "tid"]), "rows")
 
 
 def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -224,13 +317,7 @@ def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     of_text = classes.join(several, "anchor").groupBy("doc", "tid").agg(F.collect_list(F.struct("anchor", "lo", "hi", "at")).alias("seeds"))  # no longer than the text
     rows = written(_keyed(docs).join(of_text, ["doc", "tid"]).mapInArrow(_contexts, _ROWS), "contexts")
     spans = found.where("again").select("doc", "tid", "lo", "hi").union(by_class)
-    while True:
-        hubs = rows.groupBy("key").agg(F.min(F.struct("doc", "at", "tid", "left", "right")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        step = written(rows.join(hubs, "key").mapInArrow(lambda it: _extend(it, window), _ROWS + ", lo int, hi int"), "matches")
-        spans = spans.union(step.where("lo is not null").select("doc", "tid", "lo", "hi"))
-        rows = step.where("key is not null").drop("lo", "hi").dropDuplicates(["key", "doc", "at", "tid"])
-        if rows.isEmpty():
-            return spans
+    return spans.union(_settled(rows, window))
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, keep: list[str] | None = None, with_text: bool = True) -> DataFrame:
