@@ -68,26 +68,31 @@ def pairwise(a: np.ndarray, b: np.ndarray, planar: bool) -> np.ndarray:
     return np_haversine(a[:, None, 0], a[:, None, 1], b[None, :, 0], b[None, :, 1])
 
 
-def dtw(a: np.ndarray, b: np.ndarray) -> float:
-    """Dynamic time warping of two lines with Euclidean point distances."""
-    cost = pairwise(a, b, True)
-    acc = np.full((len(a) + 1, len(b) + 1), np.inf)
-    acc[0, 0] = 0
-    for i in range(len(a)):
-        for j in range(len(b)):
-            acc[i + 1, j + 1] = cost[i, j] + min(acc[i, j], acc[i, j + 1], acc[i + 1, j])
-    return float(acc[-1, -1])
-
-
-def frechet(a: np.ndarray, b: np.ndarray) -> float:
-    """Discrete Frechet distance of two lines."""
-    cost = pairwise(a, b, True)
-    acc = np.empty_like(cost)
-    for i in range(len(a)):
-        for j in range(len(b)):
-            before = min([acc[p, q] for p, q in ((i - 1, j), (i, j - 1), (i - 1, j - 1)) if p >= 0 and q >= 0], default=-np.inf)
-            acc[i, j] = max(before, cost[i, j])
-    return float(acc[-1, -1])
+def _table(a: np.ndarray, b: np.ndarray, step) -> np.ndarray:
+    """A dynamic programme over many pairs of lines at once, all of n and of m points: arrays (pairs, n, 2) and (pairs, m, 2).
+    step(best of the three cells before, cost) gives a cell; the result is the last cell of each pair."""
+    cost = np.hypot(a[:, :, None, 0] - b[:, None, :, 0], a[:, :, None, 1] - b[:, None, :, 1])
+    row: list[np.ndarray] = []
+    for i in range(a.shape[1]):
+        above, row = row, []
+        for j in range(b.shape[1]):
+            before = [*above[j : j + 1], *row[-1:], *(above[j - 1 : j] if j else [])]
+            row.append(step(np.minimum.reduce(before), cost[:, i, j]) if before else cost[:, i, j])
+    return row[-1]
+
+
+def line_distances(a: list[np.ndarray], b: list[np.ndarray], kind: str) -> np.ndarray:
+    """Dynamic time warping (dtw) or discrete Frechet distance (frechet) of a[k] and b[k], with Euclidean point distances. Pairs of
+    equal numbers of points are worked on together."""
+    step = np.add if kind == "dtw" else np.maximum
+    out, shapes = np.empty(len(a)), np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
+    for n, m in np.unique(shapes, axis=0).tolist():
+        same = np.flatnonzero((shapes[:, 0] == n) & (shapes[:, 1] == m))
+        most = max(1, 4_000_000 // (n * m))
+        for lo in range(0, len(same), most):
+            some = same[lo : lo + most].tolist()
+            out[some] = _table(np.stack([a[k] for k in some]), np.stack([b[k] for k in some]), step) if n and m else np.nan
+    return out
 
 
 def hull(points: np.ndarray) -> np.ndarray:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wayfarer.functions import crs as crs_
 from wayfarer.functions import identify, labelling, metrics, modal_split, quality
 from wayfarer.operators import locations, spatial, staypoints, triplegs, trips
 from wayfarer.sources import tables
@@ -19,12 +20,25 @@ from wayfarer.sources import tables
 class Table:
     df: DataFrame
     planar: bool = False  #: coordinates are in metres rather than in degrees
+    crs: int | None = None  #: EPSG number of the coordinate system, which then says whether they are
 
     name = ""
 
     def __post_init__(self) -> None:
+        if self.crs is not None:
+            object.__setattr__(self, "planar", crs_.is_planar(self.crs))
         self.validate()
 
+    def to_crs(self, crs: int) -> Table:
+        """The table in another coordinate system; without one of its own it is taken to be in degrees."""
+        return replace(self, df=crs_.to_crs(self.df, self.crs or crs_.WGS84, crs), crs=crs)
+
+    def check_planar(self, transform: bool = False) -> tuple[bool, Table]:
+        """Whether coordinates are planar, and the table: with transform, in degrees."""
+        if transform:
+            return False, self.to_crs(crs_.WGS84)
+        return self.planar or crs_.is_planar(self.crs), self
+
     def validate(self, deep: bool = False) -> Table:
         missing = [c for c in tables.REQUIRED[self.name] if c not in self.df.columns]
         if missing:
@@ -56,8 +70,8 @@ class _Points:
 
 
 class _Filtered:
-    def spatial_filter(self, areas, method: str = "within"):
-        return self._with(spatial.spatial_filter(self.df, areas, method))
+    def spatial_filter(self, areas, method: str = "within", re_project: bool = False, areas_crs: int | None = None):
+        return self._with(spatial.spatial_filter(self.df, areas, method, re_project, self.crs, areas_crs))
 
 
 class _Tracked:
@@ -70,11 +84,11 @@ class Positionfixes(_Points, Table):
 
     def generate_staypoints(self, **options) -> tuple[Positionfixes, Staypoints]:
         pfs, sp = staypoints.generate_staypoints(self.df, planar=self.planar, **options)
-        return self._with(pfs), Staypoints(sp, self.planar)
+        return self._with(pfs), Staypoints(sp, self.planar, self.crs)
 
     def generate_triplegs(self, staypoints: Staypoints | None = None, **options) -> tuple[Positionfixes, Triplegs]:
         pfs, tpls = triplegs.generate_triplegs(self.df, staypoints.df if staypoints is not None else None, **options)
-        return self._with(pfs), Triplegs(tpls, self.planar)
+        return self._with(pfs), Triplegs(tpls, self.planar, self.crs)
 
     def calculate_distance_matrix(self, other: Positionfixes | None = None, **options) -> DataFrame:
         return spatial.distance_matrix(self.df, other.df if other is not None else None, **options)
@@ -88,7 +102,7 @@ class Staypoints(_Points, _Filtered, _Tracked, Table):
 
     def generate_locations(self, **options) -> tuple[Staypoints, Locations]:
         sp, locs = locations.generate_locations(self.df, **options)
-        return self._with(sp), Locations(locs, self.planar)
+        return self._with(sp), Locations(locs, self.planar, self.crs)
 
     def merge_staypoints(self, triplegs: Triplegs, **options) -> Staypoints:
         extra = {c: "first" for c in ("lon", "lat") if c not in options.get("agg", {})}
@@ -99,7 +113,7 @@ class Staypoints(_Points, _Filtered, _Tracked, Table):
 
     def generate_trips(self, triplegs: Triplegs, **options) -> tuple[Staypoints, Triplegs, Trips]:
         sp, tpls, out = trips.generate_trips(self.df, triplegs.df, **options)
-        return self._with(sp), Triplegs(tpls, self.planar), Trips(out, self.planar)
+        return self._with(sp), Triplegs(tpls, self.planar, self.crs), Trips(out, self.planar, self.crs)
 
     def radius_gyration(self, method: str = "count") -> DataFrame:
         return metrics.radius_gyration(self.df, method, self.planar)
@@ -146,7 +160,7 @@ class Trips(_Tracked, Table):
 
     def generate_tours(self, staypoints: Staypoints | None = None, **options) -> tuple[Trips, Tours]:
         out, tours = trips.generate_tours(self.df, staypoints.df if staypoints is not None else None, planar=self.planar, **options)
-        return self._with(out), Tours(tours, self.planar)
+        return self._with(out), Tours(tours, self.planar, self.crs)
 
 
 class Tours(Table):

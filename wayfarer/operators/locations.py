@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfarer.functions.geo import buffered_hull, centre, distance, np_haversine
 from wayfarer.functions.time import micros
+from wayfarer.operators.graph import saved
 from wayfarer.operators.ids import dense_ids
+from wayfarer.operators.streams import per_user
 
 
 def _pairs(pts: DataFrame, epsilon: float, planar: bool, by: list[str]) -> DataFrame:
@@ -43,9 +45,8 @@ def _pairs(pts: DataFrame, epsilon: float, planar: bool, by: list[str]) -> DataF
 def _user_kernel(epsilon: float, least: int, planar: bool):
     """DBSCAN of one user's staypoints in input order: breadth-first from each core point, so that a border point goes to the
     first cluster that reaches it."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "id"], kind="stable")
-        x, y = pdf["lon"].to_numpy(float), pdf["lat"].to_numpy(float)
+
+    def one(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         order = np.argsort(y, kind="stable")
         ys = y[order]
         reach = epsilon if planar else np.degrees(epsilon / 6371000.0) * 1.0001
@@ -72,7 +73,12 @@ def _user_kernel(epsilon: float, least: int, planar: bool):
                     label[fresh] = k
                     queue += fresh.tolist()
             k += 1
-        return pd.DataFrame({"id": pdf["id"].to_numpy(), "cluster": label})[label >= 0]
+        return label
+
+    def run(rows: pa.RecordBatch, at: np.ndarray) -> pa.RecordBatch:
+        x, y = (rows.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("lon", "lat"))
+        label = np.concatenate([one(x[a:b], y[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+        return pa.RecordBatch.from_arrays([rows.column("id"), rows.column("user_id"), pa.array(label)], names=["id", "user_id", "cluster"]).filter(pa.array(label >= 0))
 
     return run
 
@@ -110,13 +116,12 @@ def generate_locations(
         pts = sp.where(F.col(activity_column))
     pts = pts.select("id", "user_id", micros("started_at").alias("t"), "lon", "lat")
     if agg_level == "user":
-        label = pts.groupBy("user_id").applyInPandas(_user_kernel(epsilon, num_samples, planar), "id bigint, cluster bigint")
-        label = pts.select("id", "user_id").join(label, "id").persist()
+        label = per_user(pts, ["t", "id"], _user_kernel(epsilon, num_samples, planar), f"id bigint, user_id {sp.schema['user_id'].dataType.simpleString()}, cluster bigint")
+        label = saved(label)
         numbers = dense_ids(label.select("user_id", "cluster").distinct(), ["cluster"], "location_id")
         label = label.join(numbers, ["user_id", "cluster"]).select("id", F.col("user_id").alias("_u"), "location_id")
     else:
         label = _dataset(pts, epsilon, num_samples, planar).join(pts.select("id", F.col("user_id").alias("_u")), "id")
-    label = label.persist()
     spots = label.join(pts.select("id", "lon", "lat"), "id").groupBy("location_id").agg(F.sort_array(F.collect_set(F.struct(F.col("lon").alias("x"), F.col("lat").alias("y")))).alias("_spots"))
     locs = label.select(F.col("_u").alias("user_id"), "location_id").distinct().join(spots, "location_id").withColumnRenamed("location_id", "id")
     locs = locs.withColumn("center", centre(F.col("_spots"), planar)).select("id", "user_id", "center", "_spots", F.col("center.y").alias("_lat"))
@@ -131,7 +136,7 @@ def _dataset(pts: DataFrame, epsilon: float, least: int, planar: bool) -> DataFr
     """(id, location_id) over all users, numbered by the first core point in order of user and time."""
     from wayfarer.operators.graph import components
 
-    pairs = _pairs(pts, epsilon, planar, []).persist()
+    pairs = saved(_pairs(pts, epsilon, planar, []))
     core = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("a")
     links = pairs.join(core, "a").join(core.withColumnRenamed("a", "b"), "b")
     joined = components(links.where("a != b"))

@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfarer.functions import geo
+from wayfarer.functions.crs import to_crs
 from wayfarer.functions.time import micros, overlap_ratio
 
 
-def spatial_filter(source: DataFrame, areas: list[list[list[tuple[float, float]]]], method: str = "within") -> DataFrame:
+def spatial_filter(source: DataFrame, areas: list[list[list[tuple[float, float]]]], method: str = "within", re_project: bool = False, crs: int | None = None, areas_crs: int | None = None) -> DataFrame:
     """Rows whose point (lon, lat) or line (geom) is within, intersects, or crosses the union of polygons, given as closed rings
-    (the outer one first). Areas are given as values, so they travel with the plan; a bounding box goes before the exact test."""
+    (the outer one first). Areas are given as values, so they travel with the plan; a bounding box goes before the exact test.
+
+    With re_project, the test is made in the areas' coordinate system; what passes comes back with its own coordinates."""
+    if re_project:
+        if crs is None or areas_crs is None:
+            raise ValueError("re_project needs both coordinate systems")
+        own = [c for c in ("lon", "lat", "geom") if c in source.columns]
+        moved = to_crs(source.select(*own, F.struct(*source.columns).alias("_own")), crs, areas_crs)
+        return spatial_filter(moved, areas, method).select("_own.*")
     if method not in ("within", "intersects", "crosses"):
         raise ValueError(f"method unknown: {method!r}")
     polygons = [[np.array(r, float) for r in p] for p in areas]
@@ -58,17 +69,17 @@ def spatial_filter(source: DataFrame, areas: list[list[list[tuple[float, float]]
     return source.where(near).where(hit_line("geom"))
 
 
-def distance_matrix(x: DataFrame, y: DataFrame | None = None, dist_metric: str = "haversine", p: float = 2.0) -> DataFrame:
+def distance_matrix(x: DataFrame, y: DataFrame | None = None, dist_metric: str | Callable[[Column, Column, Column, Column], Column] = "haversine", p: float = 2.0) -> DataFrame:
     """(i, j, distance) for all rows of x and y (or x itself): what a distance matrix is, so its size is the product of theirs.
-    Points: haversine, euclidean (l2), manhattan (l1, cityblock), chebyshev, minkowski, sqeuclidean, canberra, braycurtis, cosine. Lines: dtw, frechet."""
+    Points: haversine, euclidean (l2), manhattan (l1, cityblock), chebyshev, minkowski, sqeuclidean, canberra, braycurtis, cosine, or a function of
+    the columns x1, y1, x2, y2 (which may call a pandas UDF). Lines: dtw, frechet."""
     y = x if y is None else y
     if dist_metric in ("dtw", "frechet"):
-        kernel = geo.dtw if dist_metric == "dtw" else geo.frechet
 
         @F.pandas_udf("double")
         def measure(a: pd.Series, b: pd.Series) -> pd.Series:
-            xy = lambda pts: np.array([(q["x"], q["y"]) for q in pts], float)
-            return pd.Series([kernel(xy(s), xy(t)) for s, t in zip(a, b, strict=True)])
+            xy = lambda pts: np.array([(q["x"], q["y"]) for q in pts], float).reshape(-1, 2)
+            return pd.Series(geo.line_distances(list(map(xy, a)), list(map(xy, b)), dist_metric))
 
         return x.select(F.col("id").alias("i"), F.col("geom").alias("_a")).crossJoin(y.select(F.col("id").alias("j"), F.col("geom").alias("_b"))).select("i", "j", measure("_a", "_b").alias("distance"))
     a = x.select(F.col("id").alias("i"), F.col("lon").alias("_x1"), F.col("lat").alias("_y1"))
@@ -84,6 +95,8 @@ def distance_matrix(x: DataFrame, y: DataFrame | None = None, dist_metric: str =
         "l1": dx + dy, "l2": geo.euclidean(x1, y1, x2, y2), "canberra": share(dx, F.abs(x1) + F.abs(x2)) + share(dy, F.abs(y1) + F.abs(y2)), "braycurtis": share(dx + dy, F.abs(x1 + x2) + F.abs(y1 + y2)),
         "cosine": F.when(norms == 0, F.lit(1.0)).otherwise(F.lit(1.0) - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (x1 * x2 + y1 * y2) / F.when(norms != 0, norms)))),
     }
+    if callable(dist_metric):
+        known[dist_metric] = dist_metric(x1, y1, x2, y2)
     if dist_metric not in known:
         raise ValueError(f"dist_metric unknown: {dist_metric!r}")
     return a.crossJoin(b).select("i", "j", known[dist_metric].alias("distance"))

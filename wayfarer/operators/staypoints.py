@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfarer.functions.geo import EARTH, centre
+from wayfarer.functions.geo import EARTH
 from wayfarer.functions.time import duration, micros
-from wayfarer.operators.ids import dense_ids
+from wayfarer.operators.graph import saved
+from wayfarer.operators.ids import dense_ids, user_offsets
+from wayfarer.operators.streams import changes, joined, sorted_by_user
 
 
 def drop_duplicate_fixes(pfs: DataFrame) -> DataFrame:
@@ -19,37 +23,114 @@ def drop_duplicate_fixes(pfs: DataFrame) -> DataFrame:
     return pfs.groupBy(*values).agg(F.min("id").alias("id")).select(*pfs.columns)
 
 
-def _kernel(dist: float, least: int, gap: int, include_last: bool):
-    """The state machine of one run of fixes: `stay` is the time-first fix of the staypoint that a fix belongs to."""
+def _scan(new: np.ndarray, t: np.ndarray, lon: np.ndarray, lat: np.ndarray, dist: float, gap: int, resume: int) -> tuple[list[int], list[bool]]:
+    """Where stretches begin, and whether a fix at dist or more from the first one began each; the first row begins one. Rows
+    before resume are known to belong to it."""
+    lon, lat = np.radians(lon), np.radians(lat)
+    cos = np.cos(lat)
+    x, y, z = (v.tolist() for v in (cos * np.cos(lon), cos * np.sin(lon), np.sin(lat)))
+    cut = new.copy()
+    cut[1:] |= np.diff(t) > gap
+    # 1 - cosine tells near from far but for a narrow band, where the distance itself decides
+    most = 1 - np.cos(min(dist / EARTH, np.pi))
+    low, high = 1 - most * 1.0001 - 1e-14, 1 - most * 0.9999 + 1e-14
+    begins, far = [0], [False]
+    start, sx, sy, sz = 0, x[0], y[0], z[0]
+    for i, breaks in enumerate(cut[resume:].tolist(), resume):
+        if not breaks:
+            c = sx * x[i] + sy * y[i] + sz * z[i]
+            if c > high or c >= low and EARTH * np.arccos(np.clip(np.cos(lat[i] - lat[start]) - cos[start] * cos[i] * (1 - np.cos(lon[i] - lon[start])), -1, 1)) < dist:
+                continue
+        begins.append(i)
+        far.append(not breaks)
+        start, sx, sy, sz = i, x[i], y[i], z[i]
+    return begins, far
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], dist: float, least: int, gap: int, include_last: bool) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows in order of user and time, in whole stretches: the rows, where each begins (and the last ends), the time at which each
+    ended as a staypoint (-1: it is none), and the number of staypoints of its user before it."""
+    held, before, ended = None, 0, False
+    source = iter(batches)
+    while not ended:
+        b = next(source, None)
+        ended = b is None
+        if b is not None and not b.num_rows:
+            continue
+        resume = 1 if held is None else held.num_rows
+        rows = held if b is None else b if held is None else joined([held, b])
+        if rows is None:
+            return
+        t = rows.column("_t").to_numpy(zero_copy_only=False)
+        new = changes(rows.column("user_id"))
+        begins, far = _scan(new, t, *(rows.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("lon", "lat")), dist, gap, resume)
+        at = np.array([*begins, rows.num_rows])
+        last_of_user = np.append(new[at[1:-1]], ended)
+        close, whole = np.append(np.array(far[1:], bool), False), at[1:] if ended else at[1:-1]
+        at = at if ended else at[:-1]
+        n = len(whole)
+        if n:
+            first, stop = at[:-1], at[1:]
+            finish = np.where(close[:n], t[np.minimum(stop, len(t) - 1)], t[stop - 1])
+            stays = (close[:n] | include_last & last_of_user[:n]) & (finish - t[first] >= least)
+            count = np.cumsum(stays) - stays + before
+            user = np.maximum.accumulate(np.where(new[first] & (first > 0), np.arange(n), -1))  # the stretch with which a user began in here
+            count -= np.where(user >= 0, count[user], 0)
+            yield rows.slice(0, int(stop[-1])), at, np.where(stays, finish, -1), count
+            nxt = int(stop[-1])
+            before = 0 if nxt < rows.num_rows and new[nxt] else int(count[-1] + stays[-1])
+            held = rows.slice(nxt) if nxt < rows.num_rows else None
+        else:
+            held = rows
+
+
+def _marks(dist: float, least: int, gap: int, include_last: bool):
+    """The rows themselves, with the rank of their staypoint among the user's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, at, end, rank in _stretches(batches, dist, least, gap, include_last):
+            of = np.repeat(np.arange(len(end)), np.diff(at))
+            got = pa.array(rank[of], mask=end[of] < 0)
+            keep = [c for c in rows.schema.names if c != "_t"]
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), got], names=[*keep, "_rank"])
+
+    return run
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "id"], kind="stable")
-        t = pdf["t"].to_numpy()
-        lon, lat = np.radians(pdf["lon"].to_numpy(float)), np.radians(pdf["lat"].to_numpy(float))
-        cos = np.cos(lat)
-        n, start, i = len(t), 0, 1
-        first, begun, ended = np.full(n, -1, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
 
-        def emit(a: int, b: int, end: int) -> None:
-            first[a:b], begun[a:b], ended[a:b] = a, t[a], end
+def _stays(dist: float, least: int, gap: int, include_last: bool, planar: bool):
+    """One row for each staypoint: user, rank, begin, end, median elevation, and the centre of its places, each once."""
 
-        while i < n:  # from each start, the next event is a gap or the first fix outside
-            chunk = slice(i, min(n, i + 256))
-            far = EARTH * np.arccos(np.clip(np.cos(lat[chunk] - lat[start]) - cos[start] * cos[chunk] * (1 - np.cos(lon[chunk] - lon[start])), -1, 1)) >= dist
-            late = np.diff(t[chunk.start - 1 : chunk.stop]) > gap
-            event = np.flatnonzero(far | late)
-            if not len(event):
-                i = chunk.stop
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, at, end, rank in _stretches(batches, dist, least, gap, include_last):
+            on = np.flatnonzero(end >= 0)
+            if not len(on):
                 continue
-            at = i + int(event[0])
-            if not late[event[0]] and t[at] - t[start] >= least:
-                emit(start, at, t[at])
-            start, i = at, at + 1
-        if include_last and n and bool(pdf["tail"].iloc[0]) and t[-1] - t[start] >= least:
-            emit(start, n, t[-1])
-        member = first >= 0
-        ids = pdf["id"].to_numpy()
-        return pd.DataFrame({"user_id": pdf["user_id"].to_numpy(), "id": ids, "first_id": np.where(member, ids[np.maximum(first, 0)], 0), "_begun": begun, "_ended": ended})[member]
+            size = np.diff(at)[on]
+            take = np.repeat(at[on] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            of = np.repeat(np.arange(len(on)), size)
+            x, y = (rows.column(c).to_numpy(zero_copy_only=False).astype(float)[take] for c in ("lon", "lat"))
+            order = np.lexsort((y, x, of))
+            a, b, c = of[order], x[order], y[order]
+            once = np.ones(len(order), bool)
+            once[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
+            a, b, c = a[once], b[once], c[once]
+            mean = lambda v: np.bincount(a, v, len(on)) / np.bincount(a, minlength=len(on))
+            cx = mean(b) if planar else np.degrees(np.arctan2(mean(np.sin(np.radians(b))), mean(np.cos(np.radians(b)))))
+            cols = [rows.column("user_id").take(pa.array(at[on])), pa.array(rank[on]), rows.column("_t").take(pa.array(at[on])), pa.array(end[on])]
+            names = ["user_id", "_rank", "_begun", "_ended"]
+            if "elevation" in rows.schema.names:
+                col = rows.column("elevation").cast(pa.float64())
+                e = col.to_numpy(zero_copy_only=False)[take]
+                known = col.is_valid().to_numpy(zero_copy_only=False)[take]
+                e, own = e[known], of[known]
+                order = np.lexsort((e, own))
+                e, n = e[order], np.bincount(own, minlength=len(on))
+                first = np.cumsum(n) - n
+                mid = np.full(len(on), np.nan)
+                some = n > 0
+                mid[some] = (e[(first + (n - 1) // 2)[some]] + e[(first + n // 2)[some]]) / 2
+                cols.append(pa.array(mid, mask=~some)), names.append("elevation")
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(cx), pa.array(mean(c))], names=[*names, "lon", "lat"])
 
     return run
 
@@ -61,8 +142,9 @@ def generate_staypoints(
     """(positionfixes with staypoint_id, staypoints). Thresholds are metres and minutes.
 
     A staypoint ends with the first fix at dist_threshold or more from its first one, provided at least time_threshold has
-    passed; a pause longer than gap_threshold starts anew. As it does, users are cut there into independent runs, so that one
-    user's fixes spread over tasks; with include_last only a user's last run may end with a staypoint."""
+    passed; a pause longer than gap_threshold starts anew. Users' fixes are read as a sorted stream, of which a task holds a batch
+    and the stretch that is still open; staypoints come out whole and numbered within their user, so no further shuffle of fixes
+    follows. With include_last a user's last stretch may be a staypoint too."""
     if method != "sliding":
         raise ValueError(f"method unknown: {method!r}")
     if distance_metric != "haversine":
@@ -70,28 +152,20 @@ def generate_staypoints(
     pfs = pfs.drop("staypoint_id")
     if exclude_duplicate_pfs:
         pfs = drop_duplicate_fixes(pfs)
-    gap = duration(gap_threshold)
-    by_user = Window.partitionBy("user_id").orderBy("t", "id")
-    runs = pfs.select("user_id", "id", micros("tracked_at").alias("t"), "lon", "lat")
-    runs = runs.withColumn("_cut", (F.col("t") - F.lag("t").over(by_user) > gap).cast("int"))
-    runs = runs.withColumn("run", F.coalesce(F.sum("_cut").over(by_user), F.lit(0)))
-    runs = runs.withColumn("tail", F.col("run") == F.max("run").over(Window.partitionBy("user_id"))).drop("_cut")
-    user_type = pfs.schema["user_id"].dataType.simpleString()
-    stays = runs.groupBy("user_id", "run").applyInPandas(_kernel(dist_threshold, duration(time_threshold), gap, include_last), f"user_id {user_type}, id bigint, first_id bigint, _begun bigint, _ended bigint")
-    stays = stays.drop("user_id")
-    marked = pfs.join(stays, "id", "left").persist()  # used for both results; lost parts are computed again
+    options = dist_threshold, duration(time_threshold), duration(gap_threshold), include_last
+    moving = sorted_by_user(pfs.withColumn("_t", micros("tracked_at")), ["_t", "id"])
+    user_type, elevation = pfs.schema["user_id"].dataType.simpleString(), "elevation" in pfs.columns
+    needed = moving.select("user_id", "_t", "lon", "lat", *["elevation"] * elevation)
+    stays = needed.mapInArrow(_stays(*options, planar), f"user_id {user_type}, _rank bigint, _begun bigint, _ended bigint" + ", elevation double" * elevation + ", lon double, lat double")
+    stays = saved(stays)  # one row for each staypoint, read by both results
     kind = pfs.schema["tracked_at"].dataType
     moment = lambda c: F.timestamp_micros(c) if isinstance(kind, T.TimestampType) else F.timestamp_micros(c).cast("timestamp_ntz")
-    aggs = [moment(F.first("_begun")).alias("started_at"), moment(F.first("_ended")).alias("finished_at")]
-    if "elevation" in pfs.columns:
-        aggs.append(F.expr("percentile(elevation, 0.5)").alias("elevation"))
-    spots = F.sort_array(F.collect_set(F.struct(F.col("lon").alias("x"), F.col("lat").alias("y")))).alias("_spots")
-    sp = marked.where("first_id is not null").groupBy("user_id", "first_id").agg(*aggs, spots)
-    mid = centre(F.col("_spots"), planar)
-    sp = sp.withColumn("_c", mid).withColumn("lon", F.col("_c.x")).withColumn("lat", F.col("_c.y")).drop("_spots", "_c")
-    sp = dense_ids(sp, ["started_at", "first_id"])
-    linked = marked.drop("_begun", "_ended").join(sp.select("first_id", F.col("id").alias("staypoint_id")), "first_id", "left").drop("first_id")
-    return linked, sp.select("id", "user_id", "started_at", "finished_at", *(["elevation"] if "elevation" in pfs.columns else []), "lon", "lat")
+    sp = dense_ids(stays, [], rank="_rank").select("id", "user_id", moment("_begun").alias("started_at"), moment("_ended").alias("finished_at"), *["elevation"] * elevation, "lon", "lat")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pfs.schema)
+    marked = moving.mapInArrow(_marks(*options), f"{fields}, _rank bigint")
+    offsets = user_offsets(stays.select("user_id"))
+    linked = marked.join(offsets, F.col("user_id").eqNullSafe(F.col("_user")), "left").withColumn("staypoint_id", F.col("_before") + F.col("_rank")).drop("_user", "_before", "_rank")
+    return linked.select(*pfs.columns, "staypoint_id"), sp
 
 
 def merge_staypoints(sp: DataFrame, tpls: DataFrame, max_time_gap="10min", agg: dict | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfarer.functions.time import duration, micros
+from wayfarer.operators.graph import saved
 from wayfarer.operators.ids import dense_ids
 
 
@@ -32,7 +33,8 @@ def generate_triplegs(pfs: DataFrame, staypoints: DataFrame | None = None, metho
     rows = rows.withColumn("_starts", F.col("staypoint_id").isNull() & (F.col("_new") | F.col("_late") | after))
     rows = rows.withColumn("_run", F.when(F.col("staypoint_id").isNull(), F.sum(F.col("_starts").cast("int")).over(w)))
     size = F.count(F.lit(1)).over(Window.partitionBy("user_id", "_run"))
-    rows = rows.withColumn("_run", F.when(F.col("_run").isNotNull() & (size >= 2), F.col("_run"))).persist()  # used for both results
+    rows = rows.withColumn("_run", F.when(F.col("_run").isNotNull() & (size >= 2), F.col("_run")))
+    rows = saved(rows)  # read by the numbers, the triplegs and the fixes
     numbers = rows.where("_run is not null").groupBy("user_id", "_run").agg(F.min("_t").alias("_t0"))
     numbers = dense_ids(numbers, ["_t0", "_run"], "tripleg_id").drop("_t0")
     rows = rows.join(numbers, ["user_id", "_run"], "left")

@@ -226,4 +226,4 @@ def staypoints_merged(spark, sf):
     return merge_staypoints(sp, tpls, "6h", {"n_merged": "count"}).select("id", "user_id", "started_at", "finished_at", "location_id", "n_merged")
 
 
-from wayfarer.plans import catalog_trips  # noqa: E402, F401  (adds its queries)
+from wayfarer.plans import catalog_io, catalog_trips  # noqa: E402, F401  (they add their queries)

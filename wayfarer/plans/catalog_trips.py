@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wayfarer.functions import identify, labelling
@@ -11,7 +12,7 @@ from wayfarer.operators.locations import generate_locations
 from wayfarer.operators.spatial import add_modes_to_triplegs, distance_matrix, spatial_filter
 from wayfarer.operators.trips import generate_tours, generate_trips, get_trips_grouped
 from wayfarer.plans import fixtures as fx
-from wayfarer.plans.catalog import MODE_SQL, MODES, ORACLE_SQL, query, r6
+from wayfarer.plans.catalog import MODE_SQL, MODES, query, r6
 from wayfarer.plans.fixtures import LOC, hav, with_sql
 
 # -- trips and tours ---------------------------------------------------------------------------------------------------
@@ -23,15 +24,15 @@ TRIPS = f"""
         union all select user_id, started_at, finished_at, id, 1, false, ta, tb, fx, fy, lx, ly from tpl join ends on tripleg_id = id),
     gaps as (select *, coalesce(lead(t0) over w - t1 > {fx.GAP * 60_000_000}, false) as gap from both_kinds window w as (partition by user_id order by t0, kind, id)),
     starts_at as (select *, lag(id) over w is null or (act and not coalesce(lead(act) over w, false)) or coalesce(lag(gap) over w, false) as begins from gaps window w as (partition by user_id order by t0, kind, id)),
-    in_run as (select *, sum(cast(begins as int)) over (partition by user_id order by t0, kind, id) as trip_run from starts_at),
-    trip0 as (select user_id, trip_run, min(started_at) as started_at, max(finished_at) as finished_at, min(t0) as t0, max(t1) as t1, row_number() over (order by user_id, trip_run) - 1 as id,
+    in_run as materialized (select *, sum(cast(begins as int)) over (partition by user_id order by t0, kind, id) as trip_run from starts_at),
+    trip0 as materialized (select user_id, trip_run, min(started_at) as started_at, max(finished_at) as finished_at, min(t0) as t0, max(t1) as t1, row_number() over (order by user_id, trip_run) - 1 as id,
         arg_min(ax, (t0, id)) filter (kind = 1) as fx, arg_min(ay, (t0, id)) filter (kind = 1) as fy, arg_max(bx, (t0, id)) filter (kind = 1) as lx, arg_max(by_, (t0, id)) filter (kind = 1) as ly
         from in_run where not act group by user_id, trip_run having sum(kind) > 0),
     line as (select user_id, t0, id as trip_id, null as sp_id, 2 as what, null as x, null as y from trip0
         union all select user_id, t0, null, id, 1, ax, ay from in_run where act union all select user_id, t1 + {fx.GAP * 30_000_000}, null, null, 3, null, null from in_run where gap),
-    near as (select what, trip_id, sp_id, lag(sp_id) over w as o, lead(sp_id) over w as d, lag(trip_id) over w as prev_trip, lead(trip_id) over w as next_trip, lag(x) over w as ox, lag(y) over w as oy, lead(x) over w as dx, lead(y) over w as dy
+    near as materialized (select what, trip_id, sp_id, lag(sp_id) over w as o, lead(sp_id) over w as d, lag(trip_id) over w as prev_trip, lead(trip_id) over w as next_trip, lag(x) over w as ox, lag(y) over w as oy, lead(x) over w as dx, lead(y) over w as dy
         from line window w as (partition by user_id order by t0, what, sp_id)),
-    trips as (select t.id, t.user_id, t.started_at, t.finished_at, t.t0, t.t1, n.o as origin_staypoint_id, n.d as destination_staypoint_id, coalesce(ox, fx) as ox, coalesce(oy, fy) as oy, coalesce(dx, lx) as dx, coalesce(dy, ly) as dy
+    trips as materialized (select t.id, t.user_id, t.started_at, t.finished_at, t.t0, t.t1, n.o as origin_staypoint_id, n.d as destination_staypoint_id, coalesce(ox, fx) as ox, coalesce(oy, fy) as oy, coalesce(dx, lx) as dx, coalesce(dy, ly) as dy
         from trip0 t join near n on n.what = 2 and n.trip_id = t.id)
 """
 
@@ -68,25 +69,48 @@ def trips_geometry(spark, sf):
 _DAY5 = 5 * 86_400_000_000
 
 
+_DIST_LINK = hav("a.dx", "a.dy", "b.ox", "b.oy") + " <= 1500"
+_DIST_CLOSE = hav("a.ox", "a.oy", "b.dx", "b.dy") + " <= 1500"
+_TOUR_PARTS = """
+    , loc as materialized (select id, {loc} as place from sp),
+    ot as materialized (select t.*, row_number() over (partition by t.user_id order by t.t0, t.id) as n, t.destination_staypoint_id as ds, t.origin_staypoint_id as os, lo.place as o_loc, ld.place as d_loc
+        from trips t left join loc lo on lo.id = t.origin_staypoint_id left join loc ld on ld.id = t.destination_staypoint_id),
+    chain as (select b.*, case when a.id is null or coalesce({linked}, false) then 0 else 1 end as breaks from ot b left join ot a on a.user_id = b.user_id and a.n = b.n - 1),
+    chained as materialized (select *, sum(breaks) over (partition by user_id order by n) as c from chain),
+    cand as (select b.id as closing, a.id as opening, b.user_id, a.n as na, b.n as nb, a.n + a.c as ea from chained a join chained b on a.user_id = b.user_id and a.n <= b.n and b.c - a.c <= {gaps}
+        where b.ds is not null and a.os is not null and b.t1 - a.t0 <= {longest} and {closed} {fresh}),"""
+
+
 def _tour_sql(linked: str, closed: str, select: str) -> str:
-    """Without gaps: a tour ends with each trip that closes on the latest candidate of its chain. A chain is a run of linked
-    trips, cut before the first trip that is too old for an end that is known."""
-    return trips_sql(
-        f"""
-    , ot as (select *, row_number() over (partition by user_id order by t0, id) as n, (destination_staypoint_id // 1) as ds, origin_staypoint_id as os from trips),
-    chain as (select b.*, case when a.id is null or not coalesce({linked}, false) then 1 else 0 end as breaks from ot b left join ot a on a.user_id = b.user_id and a.n = b.n - 1),
-    chained as (select *, sum(breaks) over (partition by user_id order by n) as c, breaks = 1 and n > 1 as fresh from chain),
-    cand as (select b.id as closing, a.id as opening, b.user_id, a.n as na, b.n as nb, b.c from chained a join chained b on a.user_id = b.user_id and a.c = b.c and a.n <= b.n
-        where not b.fresh and b.ds is not null and a.os is not null and b.t1 - a.t0 <= {_DAY5} and {closed}
-        and not exists (select 1 from chained m where m.user_id = b.user_id and m.c = b.c and m.n > a.n and m.n <= b.n and b.t1 - m.t0 > {_DAY5})),
+    """Without gaps: a tour ends with each trip that closes on the latest candidate of its chain, which is a run of linked trips. A
+    trip after a gap doesn't close a tour."""
+    parts = _TOUR_PARTS.format(loc=LOC, linked=linked, closed=closed, gaps=0, longest=_DAY5, fresh="and b.breaks = 0")
+    return trips_sql(f"""{parts}
     tour as (select closing, arg_max(opening, na) as opening, max(na) as na, any_value(nb) as nb, any_value(user_id) as user_id, row_number() over (order by any_value(user_id), any_value(nb)) - 1 as id from cand group by closing)
-    {select}"""
-    )
+    {select}""")
+
+
+def _gap_tour_sql(linked: str, closed: str, select: str) -> str:
+    """With one gap: trips and gaps are numbered through, and a recursion over each user's trips carries the number up to which all is
+    forgotten."""
+    parts = _TOUR_PARTS.format(loc=LOC, linked=linked, closed=closed, gaps=1, longest=_DAY5, fresh="")
+    return trips_sql(f"""{parts}
+    gap_at as (select user_id, c as i, n + c - 1 as q from chained where breaks = 1),
+    late as (select b.id, max(a.n + a.c) as tn from chained a join chained b on a.user_id = b.user_id and a.n <= b.n and b.t1 - a.t0 > {_DAY5} group by b.id),
+    opens as (select closing, list(ea) as es from cand group by closing),
+    step as materialized (select b.user_id, b.id, b.n, b.n + b.c as e, b.ds is not null as ends, coalesce(g.q, -1) as q, coalesce(l.tn, -1) as tn, coalesce(o.es, []) as es, b.n + b.c + 1 + coalesce(x.breaks, 0) as nxt
+        from chained b left join gap_at g on g.user_id = b.user_id and g.i = b.c - 1 left join late l on l.id = b.id left join opens o on o.closing = b.id left join chained x on x.user_id = b.user_id and x.n = b.n + 1),
+    scan as (
+        select user_id, n, id, e, cast(1 as hugeint) as f, ends, q, tn, list_max(es) as best, nxt from step where n = 1
+        union all
+        select s.user_id, s.n, s.id, s.e, w.g, s.ends, s.q, s.tn, list_max(list_filter(s.es, lambda x: x >= w.g)), s.nxt
+        from (select *, case when not ends or best is not null then f when q >= f and q > tn then case when f + e - q + 1 > e then nxt else f + e - q + 1 end when tn >= f then tn else f end as g from scan) w
+        join step s on s.user_id = w.user_id and s.n = w.n + 1),
+    tour as (select w.id as closing, w.n as nb, w.user_id, o.n as na, o.id as opening, row_number() over (order by w.user_id, w.n) - 1 as id from scan w join chained o on o.user_id = w.user_id and o.n + o.c = w.best where w.ends)
+    {select}""")
 
 
 _TOURS = "select t.id, t.user_id, a.started_at, b.finished_at, a.os as origin_staypoint_id, b.ds as destination_staypoint_id, t.nb - t.na + 1 as n_trips from tour t join ot a on a.id = t.opening join ot b on b.id = t.closing"
-_DIST_LINK = hav("a.dx", "a.dy", "b.ox", "b.oy") + " <= 1500"
-_DIST_CLOSE = hav("a.ox", "a.oy", "b.dx", "b.dy") + " <= 1500"
 
 
 def _tours(spark, sf, **options):
@@ -107,18 +131,16 @@ def trips_tour_link(spark, sf):
     return _tours(spark, sf)[0].where("tour_id is not null").select(F.col("id").alias("trip_id"), F.explode("tour_id").alias("tour_id"))
 
 
-def _loc_of(staypoint: str) -> str:
-    return f"(select {LOC} from sp where sp.id = {staypoint})"
-
-
-@query(_tour_sql(f"{_loc_of('a.ds')} = {_loc_of('b.os')}", f"{_loc_of('a.os')} = {_loc_of('b.ds')}", f"select t.id, t.user_id, a.started_at, b.finished_at, t.nb - t.na + 1 as n_trips, {_loc_of('a.os')} as location_id from tour t join ot a on a.id = t.opening join ot b on b.id = t.closing"))
+@query(_tour_sql("a.d_loc = b.o_loc", "a.o_loc = b.d_loc", "select t.id, t.user_id, a.started_at, b.finished_at, t.nb - t.na + 1 as n_trips, a.o_loc as location_id from tour t join ot a on a.id = t.opening join ot b on b.id = t.closing"))
 def tours_location(spark, sf):
     return _tours(spark, sf, locations=True)[1].select("id", "user_id", "started_at", "finished_at", F.size("trips").cast("bigint").alias("n_trips"), "location_id")
 
 
-@query()
+_WITHIN = "select t.id, any_value(t.user_id) as user_id, any_value(a.started_at) as started_at, any_value(b.finished_at) as finished_at, string_agg(cast(p.id as varchar), ',' order by p.n) as trips from tour t join ot a on a.id = t.opening join ot b on b.id = t.closing join ot p on p.user_id = t.user_id and p.n between t.na and t.nb group by t.id"
+
+
+@query(_gap_tour_sql(_DIST_LINK, _DIST_CLOSE, _WITHIN))
 def tours_gaps(spark, sf):
-    """The list of candidates carries gaps, which SQL doesn't express; tests hold small cases against known answers."""
     return _tours(spark, sf, max_nr_gaps=1)[1].select("id", "user_id", "started_at", "finished_at", F.concat_ws(",", "trips").alias("trips"))
 
 
@@ -188,6 +210,20 @@ def locations_noise_n3(spark, sf):
     return sp.where("location_id is null").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_noise"))
 
 
+def _noise_sql(epsilon: int, least: int) -> str:
+    return with_sql("sp", f"""
+    , deg as (select a.id, a.user_id, count(*) as n from sp a join sp b on a.user_id = b.user_id and {hav('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= {epsilon} group by 1, 2),
+    hit as (select distinct a.id from sp a join sp b on a.user_id = b.user_id and {hav('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= {epsilon} join deg d on d.id = b.id and d.n >= {least})
+    select id from sp where id not in (select id from hit)""")
+
+
+@query(_noise_sql(6, 3))
+def locations_noise_rows(spark, sf):
+    """Staypoints that no dense place takes, with a reach that leaves some."""
+    sp = generate_locations(fx.staypoints(spark, sf)[1], epsilon=6, num_samples=3, extent=False)[0]
+    return sp.where("location_id is null").select("id")
+
+
 @query()
 def location_extent(spark, sf):
     """Buffered convex hulls; tests hold their corners against the points they go around."""
@@ -309,17 +345,23 @@ def identify_osna(spark, sf):
 # -- space and time ----------------------------------------------------------------------------------------------------
 
 
-@query(with_sql("pfs", f"select a.id as i, b.id as j, round({hav('a.lon', 'a.lat', 'b.lon', 'b.lat')}, 4) as distance from pfs a, pfs b where a.user_id = 7 and b.user_id = 8"))
+_PLACES = ", places as materialized (select row_number() over (order by lon, lat) as id, lon, lat from (select distinct lon, lat from pfs))"
+
+
+def _places(spark, sf):
+    """All different places of the fixture, which are a few dozen whatever the number of fixes."""
+    spots = fx.positionfixes(spark, sf).select("lon", "lat").distinct()
+    return spots.withColumn("id", F.row_number().over(Window.orderBy("lon", "lat")).cast("bigint"))
+
+
+@query(with_sql("pfs", f"{_PLACES} select a.id as i, b.id as j, round({hav('a.lon', 'a.lat', 'b.lon', 'b.lat')}, 4) as distance from places a, places b"))
 def distance_matrix_haversine(spark, sf):
-    """Of two users' fixes: a matrix is as large as the product of its sides."""
-    pfs = fx.positionfixes(spark, sf)
-    return distance_matrix(pfs.where("user_id = 7"), pfs.where("user_id = 8")).select("i", "j", r6("distance", 4).alias("distance"))
+    return distance_matrix(_places(spark, sf)).select("i", "j", r6("distance", 4).alias("distance"))
 
 
-@query(with_sql("pfs", "select a.id as i, b.id as j, round(sqrt((b.lon - a.lon) * (b.lon - a.lon) + (b.lat - a.lat) * (b.lat - a.lat)), 9) as distance from pfs a, pfs b where a.user_id = 7 and b.user_id = 7"))
+@query(with_sql("pfs", f"{_PLACES} select a.id as i, b.id as j, round(sqrt((b.lon - a.lon) * (b.lon - a.lon) + (b.lat - a.lat) * (b.lat - a.lat)), 9) as distance from places a, places b"))
 def distance_matrix_euclidean(spark, sf):
-    pfs = fx.positionfixes(spark, sf).where("user_id = 7")
-    return distance_matrix(pfs, dist_metric="euclidean").select("i", "j", r6("distance", 9).alias("distance"))
+    return distance_matrix(_places(spark, sf), dist_metric="euclidean").select("i", "j", r6("distance", 9).alias("distance"))
 
 
 def _user_centres(spark, sf):
@@ -373,9 +415,18 @@ def spatial_filter_lines_within(spark, sf):
     return spatial_filter(fx.triplegs(spark, sf)[2], [[AREA]], "within").select("id")
 
 
-@query()
+def _clipped() -> str:
+    """Whether a step from (x0, y0) to (lon, lat) runs through the inside of the convex area: what its edges leave of it."""
+    side = lambda x, y: [f"(({x2 - x1!r}) * ({y} - {y1}) - ({y2 - y1!r}) * ({x} - {x1}))" for (x1, y1), (x2, y2) in zip(AREA[:-1], AREA[1:], strict=True)]
+    ends = list(zip(side("x0", "y0"), side("lon", "lat"), strict=True))
+    low = ", ".join(f"case when {q} > {p} then -{p} / ({q} - {p}) else 0 end" for p, q in ends)
+    high = ", ".join(f"case when {q} < {p} then {p} / ({p} - {q}) else 1 end" for p, q in ends)
+    flat = " and ".join(f"({q} <> {p} or {p} > 0)" for p, q in ends)
+    return f"(greatest(0, {low}) < least(1, {high}) and {flat})"
+
+
+@query(with_sql("tpl", f"select tripleg_id as id from legs group by 1 having bool_or(x0 is not null and {_clipped()}) and not bool_and({_SIDES})"))
 def spatial_filter_crosses(spark, sf):
-    """Lines may cross an area without a point in it; tests hold the cases."""
     return spatial_filter(fx.triplegs(spark, sf)[2], [[AREA]], "crosses").select("id")
 
 
@@ -385,18 +436,10 @@ _LABELS = "labels_of as (select event_id as id, user_id, event_type as mode, epo
 @query(with_sql("tpl", f"""
     , {_LABELS}, cand as (select p.id, l.id as label_id, l.mode, l.b0, l.b1, p.ta, p.tb, greatest(abs(p.ta // 1000000 - l.b0 // 1000000), abs(p.tb // 1000000 - l.b1 // 1000000)) as gap from tpl p join labels_of l using (user_id)),
     top as (select *, row_number() over (partition by label_id order by gap, id) as k from cand where gap <= 604800),
-    scored as (select *, greatest(0, least(tb, b1) - greatest(ta, b0)) / (tb - ta) as ratio from top where k <= 3),
+    scored as (select *, greatest(0, least(tb, b1) - greatest(ta, b0)) / (tb - ta) as ratio from top where k <= 20),
     best as (select id, arg_max(label_id, (ratio, label_id)) as label_id, arg_max(mode, (ratio, label_id)) as mode from scored where ratio >= 0.5 group by id)
     select p.id, b.label_id, b.mode from tpl p left join best b using (id)"""))
 def temp_overlap_label_join(spark, sf):
-    events = spark.read.parquet(f"{sf}/events.parquet")
-    labels = events.select(F.col("event_id").alias("id"), "user_id", F.col("event_type").alias("mode"), F.expr("ts - interval 40000 seconds").alias("started_at"), F.expr("ts + interval 40000 seconds").alias("finished_at"))
-    return add_modes_to_triplegs(fx.triplegs(spark, sf)[2], labels, max_triplegs=3).select("id", "label_id", "mode")
-
-
-@query(ORACLE_SQL["temp_overlap_label_join"].replace("where k <= 3)", "where k <= 20)"))
-def temp_overlap_label_join_default(spark, sf):
-    """With the operator's own number of triplegs that a label looks at."""
     events = spark.read.parquet(f"{sf}/events.parquet")
     labels = events.select(F.col("event_id").alias("id"), "user_id", F.col("event_type").alias("mode"), F.expr("ts - interval 40000 seconds").alias("started_at"), F.expr("ts + interval 40000 seconds").alias("finished_at"))
     return add_modes_to_triplegs(fx.triplegs(spark, sf)[2], labels).select("id", "label_id", "mode")

@@ -60,7 +60,7 @@ PFS = """
         from placed)"""
 
 SP = f"""
-    rows as (select *, row_number() over (partition by user_id order by t, id) as rn from pfs),
+    rows as materialized (select *, row_number() over (partition by user_id order by t, id) as rn from pfs),
     walk as (
         select user_id, rn, rn as start, cast(null as bigint) as e_first from rows where rn = 1
         union all
@@ -68,25 +68,25 @@ SP = f"""
             case when c.t - p.t > {GAP * 60_000_000} or {hav('s.lon', 's.lat', 'c.lon', 'c.lat')} >= {DIST} then c.rn else w.start end,
             case when c.t - p.t <= {GAP * 60_000_000} and {hav('s.lon', 's.lat', 'c.lon', 'c.lat')} >= {DIST} and c.t - s.t >= {TIME * 60_000_000} then w.start end
         from walk w join rows c on c.user_id = w.user_id and c.rn = w.rn + 1 join rows p on p.user_id = w.user_id and p.rn = w.rn join rows s on s.user_id = w.user_id and s.rn = w.start),
-    stays as (select user_id, e_first as f, rn - 1 as l, rn as nxt from walk where e_first is not null),
-    sp0 as (select s.user_id, s.f, s.l, a.tracked_at as started_at, b.tracked_at as finished_at, row_number() over (order by s.user_id, a.t, s.f) - 1 as id
+    stays as materialized (select user_id, e_first as f, rn - 1 as l, rn as nxt from walk where e_first is not null),
+    sp0 as materialized (select s.user_id, s.f, s.l, a.tracked_at as started_at, b.tracked_at as finished_at, row_number() over (order by s.user_id, a.t, s.f) - 1 as id
         from stays s join rows a on a.user_id = s.user_id and a.rn = s.f join rows b on b.user_id = s.user_id and b.rn = s.nxt),
-    member as (select r.*, s.id as staypoint_id from rows r left join sp0 s on s.user_id = r.user_id and r.rn between s.f and s.l),
+    member as materialized (select r.*, s.id as staypoint_id from rows r left join sp0 s on s.user_id = r.user_id and r.rn between s.f and s.l),
     spots as (select distinct staypoint_id, lon, lat from member where staypoint_id is not null),
-    mids as (select staypoint_id, degrees(atan2(avg(sin(radians(lon))), avg(cos(radians(lon))))) as lon, avg(lat) as lat from spots group by 1),
-    sp as (select s.id, s.user_id, s.started_at, s.finished_at, e.elevation, m.lon, m.lat, epoch_us(s.started_at) as t0, epoch_us(s.finished_at) as t1
+    mids as materialized (select staypoint_id, degrees(atan2(avg(sin(radians(lon))), avg(cos(radians(lon))))) as lon, avg(lat) as lat from spots group by 1),
+    sp as materialized (select s.id, s.user_id, s.started_at, s.finished_at, e.elevation, m.lon, m.lat, epoch_us(s.started_at) as t0, epoch_us(s.finished_at) as t1
         from sp0 s join mids m on m.staypoint_id = s.id join (select staypoint_id, median(elevation) as elevation from member group by 1) e on e.staypoint_id = s.id)"""
 
 TPL = f"""
     marked as (select *, staypoint_id is null and (lag(id) over w is null or t - lag(t) over w > {GAP * 60_000_000} or lag(staypoint_id) over w is not null) as starts from member window w as (partition by user_id order by t, id)),
     runs as (select *, case when staypoint_id is null then sum(cast(starts as int)) over (partition by user_id order by t, id) end as run from marked),
-    sized as (select *, case when run is not null then count(*) over (partition by user_id, run) end as n from runs),
+    sized as materialized (select *, case when run is not null then count(*) over (partition by user_id, run) end as n from runs),
     tpl0 as (select user_id, run, min(t) as ta, max(t) as tb, min(tracked_at) as started_at, max(tracked_at) as finished_at, count(*) as n_points, count(distinct {{'x': lon, 'y': lat}}) as n_spots,
         row_number() over (order by user_id, min(t)) - 1 as id from sized where n >= 2 group by user_id, run),
-    tpl as (select * from tpl0 where n_spots >= 2),
-    tpfs as (select z.*, p.id as tripleg_id from sized z left join tpl p on p.user_id = z.user_id and p.run = z.run and z.n >= 2),
-    legs as (select tripleg_id, t, id, lon, lat, lag(lon) over w as x0, lag(lat) over w as y0, t - lag(t) over w as dt from tpfs where tripleg_id is not null window w as (partition by tripleg_id order by t, id)),
-    lengths as (select tripleg_id, sum({hav('x0', 'y0', 'lon', 'lat')}) as length, avg({hav('x0', 'y0', 'lon', 'lat')} / (dt / 1e6)) as pf_speed from legs group by 1)"""
+    tpl as materialized (select * from tpl0 where n_spots >= 2),
+    tpfs as materialized (select z.*, p.id as tripleg_id from sized z left join tpl p on p.user_id = z.user_id and p.run = z.run and z.n >= 2),
+    legs as materialized (select tripleg_id, t, id, lon, lat, lag(lon) over w as x0, lag(lat) over w as y0, t - lag(t) over w as dt from tpfs where tripleg_id is not null window w as (partition by tripleg_id order by t, id)),
+    lengths as materialized (select tripleg_id, sum({hav('x0', 'y0', 'lon', 'lat')}) as length, avg({hav('x0', 'y0', 'lon', 'lat')} / (dt / 1e6)) as pf_speed from legs group by 1)"""
 
 
 def with_sql(parts: str, select: str) -> str:

@@ -122,6 +122,8 @@ def flat(df: DataFrame) -> DataFrame:
     for f in df.schema:
         if isinstance(f.dataType, T.TimestampType):
             df = df.withColumn(f.name, F.date_format(f.name, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))
+        elif isinstance(f.dataType, T.TimestampNTZType):  # whole microseconds, which the writer's own format cuts
+            df = df.withColumn(f.name, F.date_format(f.name, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
     return df
 
 
@@ -135,8 +137,8 @@ def write_csv(df: DataFrame, path: str, table: str, sep: str = ",", mode: str =
 
 
 def read_jdbc(spark: SparkSession, url: str, query: str, table: str, columns: dict[str, str] | None = None, tz: str | None = None, geom_col: str | None = "geom", **options) -> DataFrame:
-    """A table from a query over JDBC; geometry as WKB (ST_AsBinary in the query)."""
-    df = spark.read.format("jdbc").option("url", url).option("query", query).options(**options).load()
+    """A table from a query over JDBC; geometry as WKB (ST_AsBinary in the query). columns renames before anything else."""
+    df = spark.read.format("jdbc").option("url", url).option("query", query).options(**options).load().withColumnsRenamed(columns or {})
     if geom_col and geom_col in df.columns:
         df = df.withColumn("_p", wkt.wkb_points(F.col(geom_col))).drop(geom_col)
         if table in ("positionfixes", "staypoints"):
@@ -150,12 +152,33 @@ def read_jdbc(spark: SparkSession, url: str, query: str, table: str, columns: di
         if c in df.columns and isinstance(df.schema[c].dataType, T.BinaryType):
             pts = wkt.wkb_points(F.col(c))
             df = df.withColumn(c, F.element_at(pts, 1) if c == "center" else pts)
-    return from_dataframe(df, table, columns, tz)
-
-
-def write_jdbc(df: DataFrame, url: str, name: str, if_exists: str = "fail", **options) -> None:
-    """Geometry goes as text (ST_GeomFromText in a view makes it geometry), lists as JSON."""
+    for c in ("trips", "tour_id"):
+        if c in df.columns and isinstance(df.schema[c].dataType, T.StringType):
+            df = df.withColumn(c, F.from_json(c, "array<bigint>"))
+    return from_dataframe(df, table, None, tz)
+
+
+def binary(df: DataFrame, srid: int | None = 4326) -> DataFrame:
+    """The table with each geometry as one (E)WKB column (geom, center, extent), and lists as JSON."""
+    cols = set(df.columns)
+    if {"start_geom", "end_geom"} <= cols:
+        both = F.when(F.col("start_geom").isNotNull() & F.col("end_geom").isNotNull(), F.array("start_geom", "end_geom"))
+        df = df.withColumn("geom", wkt.points_wkb(4, srid)(both)).drop("start_geom", "end_geom")
+    elif "geom" in cols and isinstance(df.schema["geom"].dataType, T.ArrayType):
+        df = df.withColumn("geom", wkt.points_wkb(2, srid)(F.col("geom")))
+    elif {"lon", "lat"} <= cols:
+        spot = F.when(F.col("lon").isNotNull() & F.col("lat").isNotNull(), F.struct(F.col("lon").alias("x"), F.col("lat").alias("y")))
+        df = df.withColumn("geom", wkt.points_wkb(1, srid)(spot)).drop("lon", "lat")
+    if "center" in cols:
+        df = df.withColumn("center", wkt.points_wkb(1, srid)(F.col("center")))
+    if "extent" in cols:
+        df = df.withColumn("extent", wkt.points_wkb(3, srid)(F.col("extent")))
+    return df.withColumns({c: F.to_json(c) for c in ("trips", "tour_id") if c in cols and isinstance(df.schema[c].dataType, T.ArrayType)})
+
+
+def write_jdbc(df: DataFrame, url: str, name: str, if_exists: str = "fail", srid: int | None = 4326, **options) -> None:
+    """Geometry goes as (E)WKB, which read_jdbc takes, and a geometry column of the database too; lists go as JSON."""
     mode = {"fail": "errorifexists", "replace": "overwrite", "append": "append"}
     if if_exists not in mode:
         raise ValueError(f"if_exists unknown: {if_exists!r}")
-    flat(df).write.format("jdbc").option("url", url).option("dbtable", name).options(**options).mode(mode[if_exists]).save()
+    binary(df, srid).write.format("jdbc").option("url", url).option("dbtable", name).options(**options).mode(mode[if_exists]).save()

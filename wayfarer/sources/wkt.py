@@ -49,7 +49,7 @@ def format_multipoint(start: Column, end: Column) -> Column:
 
 
 def from_wkb(data: bytes | None) -> list[tuple[float, float]] | None:
-    """The points of a WKB or EWKB point, line, or polygon's outer ring."""
+    """The points of a WKB or EWKB point, line, polygon's outer ring, or several points."""
     if data is None:
         return None
     order = "<" if data[0] == 1 else ">"
@@ -63,13 +63,17 @@ def from_wkb(data: bytes | None) -> list[tuple[float, float]] | None:
     if kind == 3:
         (n,) = struct.unpack_from(f"{order}I", data, at)
         at += 4
+    if kind == 4:  # each point is a geometry of its own
+        return [from_wkb(data[at + 21 * k : at + 21 * (k + 1)])[0] for k in range(n)]
     if kind not in (2, 3):
         raise ValueError(f"geometry type {kind} isn't read")
     return [struct.unpack_from(f"{order}2d", data, at + 16 * k) for k in range(n)]
 
 
 def to_wkb(points: list[tuple[float, float]], kind: int, srid: int | None = None) -> bytes:
-    """EWKB of a point (1), line (2) or polygon of one ring (3)."""
+    """EWKB of a point (1), line (2), polygon of one ring (3) or several points (4)."""
+    if kind == 4:
+        return struct.pack("<BI", 1, 4 | (0x20000000 if srid else 0)) + (struct.pack("<I", srid) if srid else b"") + struct.pack("<I", len(points)) + b"".join(to_wkb([p], 1) for p in points)
     head = struct.pack("<BI", 1, kind | (0x20000000 if srid else 0)) + (struct.pack("<I", srid) if srid else b"")
     count = b"" if kind == 1 else struct.pack("<I", len(points)) if kind == 2 else struct.pack("<II", 1, len(points))
     return head + count + b"".join(struct.pack("<2d", *p) for p in points)
@@ -81,3 +85,14 @@ _POINTS = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.Struct
 @F.pandas_udf(_POINTS)
 def wkb_points(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else [{"x": x, "y": y} for x, y in from_wkb(bytes(b))])
+
+
+def points_wkb(kind: int, srid: int | None = None):
+    """A function that makes (E)WKB of a column of points (kind 1, a struct) or of arrays of points (2 a line, 3 a polygon's ring, 4 several
+    points)."""
+
+    @F.pandas_udf("binary")
+    def lines(data: pd.Series) -> pd.Series:
+        return data.map(lambda ps: None if ps is None else to_wkb([(p["x"], p["y"]) for p in ps], kind, srid))
+
+    return (lambda c: lines(F.when(c.isNotNull(), F.array(c)))) if kind == 1 else lines
