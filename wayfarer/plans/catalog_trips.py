@@ -443,3 +443,6 @@ def temp_overlap_label_join(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet")
     labels = events.select(F.col("event_id").alias("id"), "user_id", F.col("event_type").alias("mode"), F.expr("ts - interval 40000 seconds").alias("started_at"), F.expr("ts + interval 40000 seconds").alias("finished_at"))
     return add_modes_to_triplegs(fx.triplegs(spark, sf)[2], labels).select("id", "label_id", "mode")
+
+
+from wayfarer.plans import catalog_io  # noqa: E402, F401  (adds its queries)
