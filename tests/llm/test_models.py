@@ -42,7 +42,7 @@ def test_language_brute_force(spark):
         return x ^ x >> 31
 
     def brute(text):
-        letters = re.sub(r"_+", "_", "".join(c if c.isalpha() else "_" for c in (text or "").lower())).lstrip("_")
+        letters = re.sub(r"_+", "_", "".join(c if c.isalpha() else "_" for c in f"{text or ''} ".lower())).lstrip("_")
         code = [0 if c == "_" else ord(c) for c in letters]
         counts = {}
         for n in (1, 2, 3):
@@ -129,9 +129,10 @@ def test_pairs_count():
     assert np.mean(z[pair][:, None] > z[y == 0][None, :]) > 0.85
 
 
+@pytest.mark.parametrize("rate", [0.02, 0.05, 0.2])
 @pytest.mark.parametrize("seed", [0, 1])
-def test_rare_pairs_count(seed):
-    """Toxic texts hold two terms together, clean ones hold each apart, in 5% of either class: neither frequency nor signal tells of them."""
+def test_rare_pairs_count(seed, rate):
+    """Toxic texts hold two terms together, clean ones hold each apart, in that share of either class: neither frequency nor signal tells of them."""
     import pyarrow as pa
 
     from wayfarer.llm.toxicity import features, fit
@@ -139,13 +140,13 @@ def test_rare_pairs_count(seed):
     rng = np.random.default_rng(seed)
     words = [f"w{k}" for k in range(300)]
     labels = (rng.random(8000) < 0.5).astype(int)
-    vile, group = rng.random((2, 8000)) < 0.05
+    vile, group = rng.random((2, 8000)) < rate
     group = np.where(labels == 1, vile, group)
     texts = [" ".join([*rng.choice(words, 8), *["vile"] * int(a), *["people"] * int(b)]) for a, b in zip(vile, group, strict=True)]
     z = fit(texts[:5000], labels[:5000], np.ones(5000)).logits(*features(pa.array(texts[5000:])))
     both, one = (vile & group)[5000:] & (labels[5000:] == 1), (vile ^ group)[5000:]
-    assert np.mean(z[both][:, None] > z[one][None, :]) > 0.9
-    assert np.mean(z[both][:, None] > z[labels[5000:] == 0][None, :]) > 0.8
+    assert np.mean(z[both][:, None] > z[one][None, :]) > 0.95
+    assert np.mean(z[both][:, None] > z[labels[5000:] == 0][None, :]) > 0.9
 
 
 def test_toxicity_odd(spark):

@@ -40,8 +40,8 @@ def term_counts(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-gram counts of each text as a dense matrix, and each text's number of letters."""
     low = [t.lower() for t in batch]
     size = np.fromiter(map(len, low), np.int64, len(low))
-    code = np.frombuffer(" ".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
-    doc = np.repeat(np.arange(len(low)), size + 1)[: len(code)] if len(low) else np.empty(0, np.int64)
+    code = np.frombuffer("".join(f"{t} " for t in low).encode("utf-32-le", "surrogatepass"), np.uint32)  # the last word ends like the others
+    doc = np.repeat(np.arange(len(low)), size + 1)
     is_letter = letters()[code]
     n_letters = np.bincount(doc, is_letter, len(low)).astype(np.int64)
     keep = is_letter.copy()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfarer.llm.common import held_out, slices
+from wayfarer.llm.common import held_out, mix64, slices
 from wayfarer.llm.terms import term_hashes
 
 BITS = 18
@@ -135,10 +135,51 @@ def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, rank: int = 6,
     return replace(machine, bias=bias - float(inside + outside) / 2)  # 0.5 stands midway between the classes' edges
 
 
-def fit_weak(logit: np.ndarray, term: np.ndarray, count: np.ndarray, known: np.ndarray, labels: np.ndarray, weight: np.ndarray, rank: int, shrink: float, rng: np.random.Generator, steps: int = 80) -> np.ndarray:
+def telling_pairs(term: np.ndarray, count: np.ndarray, known: np.ndarray, pull: np.ndarray, least: float = 6.0, bits: int = 20, block: int = 2_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (a, b, z) of known terms whose texts are pulled to one side by least standard errors, while the texts with one of the two
+    alone are pulled to the other side by two. pull: what each text's logit lacks, whose mean is taken off.
+
+    Pairs are first summed up in 2**bits bins by their hash, and then one by one in the bins that stand out."""
+    keep, pull = known[term], pull - pull.mean()
+    of, t = np.repeat(np.arange(len(count)), count)[keep], term[keep]
+    single, spread = np.bincount(t, pull[of], len(known)), np.bincount(t, pull[of] ** 2, len(known))
+    n = np.bincount(of, minlength=len(count))
+    rest = n[of] - 1 - (np.arange(len(of)) - (np.cumsum(n) - n)[of])  # terms of the text after each one
+    ends = np.cumsum(rest)
+
+    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        lo = 0
+        while lo < len(t):
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - rest[lo] + block, "right")))
+            r = rest[lo:hi]
+            left = np.repeat(np.arange(lo, hi), r)
+            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(r) - r, r)
+            key = t[left] << BITS | t[right]  # a text's terms are sorted, so that a pair has one order
+            yield key, (mix64(key.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64), pull[of[left]]
+            lo = hi
+
+    total, square = np.zeros(1 << bits), np.zeros(1 << bits)
+    for _, bin_, p in blocks():
+        total += np.bincount(bin_, p, 1 << bits)
+        square += np.bincount(bin_, p * p, 1 << bits)
+    high = np.abs(total) >= (least - 1) * np.sqrt(np.maximum(square, 1e-12))
+    parts = [(key[on], p[on]) for key, bin_, p in blocks() if (on := high[bin_]).any()]
+    key, p = (np.concatenate([x[k] for x in parts]) if parts else np.empty(0, kind) for k, kind in ((0, np.int64), (1, float)))
+    key, which = np.unique(key, return_inverse=True)
+    both, wide = np.bincount(which, p, len(key)), np.bincount(which, p * p, len(key))
+    z, a, b = both / np.sqrt(np.maximum(wide, 1e-12)), key >> BITS, key & ((1 << BITS) - 1)
+    on = np.abs(z) >= least
+    for one in (a, b):
+        on &= np.sign(z) * (single[one] - both) <= -2 * np.sqrt(np.maximum(spread[one] - wide, 0))
+    return a[on], b[on], z[on]
+
+
+def fit_weak(logit: np.ndarray, term: np.ndarray, count: np.ndarray, known: np.ndarray, labels: np.ndarray, weight: np.ndarray, rank: int, shrink: float, rng: np.random.Generator, steps: int = 80, start: float = 2.0) -> np.ndarray:
     """Factors, on top of the given logits, of all known terms, by descent over the whole sample. A text's pairs count for 1 in all,
     and decay is the same for every term, so that a pair must stand in some texts of one class more than of the other to grow from its
-    small start, and the noise of rare terms and long texts shrinks to nothing."""
+    small start, and the noise of rare terms and long texts shrinks to nothing. Pairs of terms in a hundredth of the texts or more whose
+    texts are pulled to one side start with factors of their own, and their terms decay less: what all other pairs pull at random
+    would hide them from descent."""
     used = np.flatnonzero(known)
     number = np.full(len(known), -1, np.int64)
     number[used] = np.arange(len(used))
@@ -146,17 +187,27 @@ def fit_weak(logit: np.ndarray, term: np.ndarray, count: np.ndarray, known: np.n
     d, t = np.repeat(np.arange(len(count)), count)[keep], number[term[keep]]
     per = 1 / np.maximum(count, 1)
 
+    hold = np.full((len(used), 1), shrink)
+
     def loss(v: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         total = np.stack([np.bincount(d, v[t, f], len(count)) for f in range(rank)], 1)
         z = logit + SCALE * per * ((total * total).sum(1) - np.bincount(d, (v * v).sum(1)[t], len(count))) / 2
-        return float((weight * (np.logaddexp(0, z) - labels * z)).sum() + shrink / 2 * (v * v).sum()), z, total
+        return float((weight * (np.logaddexp(0, z) - labels * z)).sum() + (hold / 2 * v * v).sum()), z, total
 
     v = rng.normal(0, 0.03, (len(used), rank))
+    frequent = known & (np.bincount(term, minlength=len(known)) >= len(count) / 100)
+    pull = weight * (labels - 1 / (1 + np.exp(-np.clip(logit, -30, 30))))
+    for a, b, side in zip(*telling_pairs(term, count, frequent, pull), strict=True):
+        along = rng.normal(size=rank)
+        along *= start / np.linalg.norm(along)
+        hold[number[[a, b]]] = shrink / 10
+        v[number[a]] += along
+        v[number[b]] += np.sign(side) * along
     (now, z, total), rate = loss(v), 0.1
     for _ in range(steps):
         g = SCALE * per * weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels)
         own = np.bincount(t, g[d], len(used))
-        step = np.stack([np.bincount(t, (g * total[:, f])[d], len(used)) for f in range(rank)], 1) - own[:, None] * v + shrink * v
+        step = np.stack([np.bincount(t, (g * total[:, f])[d], len(used)) for f in range(rank)], 1) - own[:, None] * v + hold * v
         ahead = v - rate * step
         got = loss(ahead)
         if got[0] <= now:
