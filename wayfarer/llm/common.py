@@ -22,14 +22,15 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared folder that spark.checkpoint.dir names. Where that is unset, one machine alone (a local
+    """A new folder below the application's own one in the shared folder that spark.checkpoint.dir names; drop_scratch() of
+    wayfarer.operators.graph deletes all of the application's, once no result that reads them is needed. Where that is unset, one machine alone (a local
     master) uses its own temporary folder; a cluster can't, and raises ValueError."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.conf.get("spark.master", "local").startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "wayfarer-scratch")
-    return f"{root.rstrip('/')}/wayfarer-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/wayfarer-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 try:

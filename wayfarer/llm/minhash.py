@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfarer.llm.common import mix64, slices, written
+from wayfarer.llm.common import dropped, mix64, slices, written
 from wayfarer.llm.components import components
 from wayfarer.llm.terms import word_hashes
 
@@ -253,6 +253,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tables:
 
     placed = written(label(label(buckets, "rep", "own"), "hub", "hubs"), "placed")
     more = written(_across(placed, classes, texts, sketch, width, percent, far_apart(2 * tables * rows, percent)), "more")
+    dropped(buckets, texts, pairs, links, placed)  # all that is read from here on is written
     bridges = label(label(more, "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     joined = components(bridges).select(F.col("node").alias("c1"), F.col("component").alias("c2"))
 
