@@ -162,6 +162,23 @@ def test_toxicity_odd(spark):
     assert toxicity(odd_docs(spark, []), some).collect() == []
 
 
+def test_fits_on_bounded_samples(spark):
+    """An id on very many rows gives one text, and very long texts none."""
+    from wayfarer.llm.langid import fit as fit_languages
+    from wayfarer.llm.toxicity import fit_on_labels, toxicity
+
+    rows = [(k, f"the cat and the {k}", "en") for k in range(30)] + [(k, f"der hund und die {k}", "de") for k in range(30, 60)]
+    more = rows + [(5, f"row number {k}", "en") for k in range(3000)] + [(31, "x" * 60_000, "de")]
+    schema = "doc_id long, text string, lang string"
+    model = fit_languages(spark.createDataFrame(more, schema), centroids=2)
+    assert sorted(set(model.langs)) == ["de", "en"]
+    assert model.predict(["the cat and the dog", "der hund und die katze"])[0] == ["en", "de"]
+    labels = spark.createDataFrame([(k, 1, int(k >= 30)) for k in range(60)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(more, schema)
+    score = {r["doc_id"]: r["score"] for r in toxicity(docs, fit_on_labels(docs, labels)).collect()}
+    assert score[40] > 0.5 > score[10]
+
+
 def test_toxicity_held_out(spark):
     """The small tables have 300 labelled texts to learn from; sf0.1 has ten times as many."""
     from wayfarer.llm.queries import op7_toxicity

@@ -103,8 +103,9 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(train: DataFrame, fit_rows: int = 1000, centroids: int = 4, slack: float = 0.6) -> Model:
-    """Learns from columns doc_id, text and lang (not null) of all rows of train."""
+def fit(train: DataFrame, fit_rows: int = 1000, centroids: int = 4, slack: float = 0.6, fit_chars: int = 50_000) -> Model:
+    """Learns from columns doc_id, text and lang (not null) of all rows of train. Centroids are fitted on about fit_rows ids of each
+    language, one text of each and none of more than fit_chars characters; frequencies count whole texts of all rows."""
     train = train.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,8 +125,8 @@ def fit(train: DataFrame, fit_rows: int = 1000, centroids: int = 4, slack: float
     share = sizes.select("lang", (F.lit(float(fit_rows)) / F.col("count")).alias("share"))
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     chosen = train.select("doc_id", "lang").join(share, "lang").where(chance < F.col("share") * (1 << 20)).select("doc_id").distinct()  # ids only: texts aren't dealt out by language
-    picked = train.join(F.broadcast(chosen), "doc_id").select("lang", "doc_id", "text")  # about fit_rows ids for each language
-    rows = sorted(((r["lang"], r["doc_id"], r["text"]) for r in picked.collect()))
+    picked = train.where(F.char_length("text") <= fit_chars).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r"))  # about fit_rows ids for each language
+    rows = sorted(((r["r"]["lang"], r["doc_id"], r["r"]["text"]) for r in picked.collect()))
     names, cents, own = [], [], []
     model = Model([], idf, np.zeros((0, DIM), np.float32), np.zeros(len(LENGTHS) + 1))
     for lang in sorted({r[0] for r in rows}):

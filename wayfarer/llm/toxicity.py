@@ -219,16 +219,17 @@ def fit_weak(logit: np.ndarray, term: np.ndarray, count: np.ndarray, known: np.n
     return weak
 
 
-def fit_on_labels(docs: DataFrame, labels: DataFrame, fit_rows: int = 2500) -> Machine:
-    """Learns from a sample of the labelled documents that aren't held out: about fit_rows of each class."""
+def fit_on_labels(docs: DataFrame, labels: DataFrame, fit_rows: int = 2500, fit_chars: int = 50_000) -> Machine:
+    """Learns from a sample of the labelled documents that aren't held out: about fit_rows ids of each class, one text of each and none of
+    more than fit_chars characters."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     share = {k: min(1.0, fit_rows / n) for k, n in sizes.items()}
     chance = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20))
     limit = F.when(F.col("toxic") == 1, F.lit(share.get(1, 0) * (1 << 20))).otherwise(F.lit(share.get(0, 0) * (1 << 20)))
     picked = known.where(chance < limit)  # about 2 * fit_rows rows at most
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where(F.col("text").isNotNull()).select("doc_id", "text", "toxic").collect()
-    rows = sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows)
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.char_length("text") <= fit_chars)).join(F.broadcast(picked), "doc_id")
+    rows = sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect())
     got = np.array([r[2] for r in rows], np.int64)
     weight = np.array([1 / share[k] for k in got.tolist()]) if len(rows) else np.zeros(0)
     return fit([r[1] for r in rows], got, weight)
