@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wayfarer.functions.geo import line_length
 from wayfarer.functions.time import micros
 
+MOST_MODES = 1000
 _DAYS = {"MON": "Mon", "TUE": "Tue", "WED": "Wed", "THU": "Thu", "FRI": "Fri", "SAT": "Sat", "SUN": "Sun"}
 
 
@@ -31,7 +32,9 @@ def calculate_modal_split(tpls: DataFrame, freq: str | None = None, metric: str
         raise ValueError(f"metric unknown: {metric!r}")
     value = {"count": F.lit(1), "distance": line_length(F.col("geom"), planar) if "geom" in tpls.columns else None, "duration": (micros("finished_at") - micros("started_at")) / F.lit(1e6)}[metric]
     if modes is None:
-        modes = sorted(r["mode"] for r in tpls.where("mode is not null").select("mode").distinct().collect())
+        modes = sorted(r["mode"] for r in tpls.where("mode is not null").select("mode").distinct().limit(MOST_MODES + 1).collect())
+        if len(modes) > MOST_MODES:
+            raise ValueError(f"more than {MOST_MODES} modes, each a column; name those that count")
     keys = ["user_id"] * per_user + ["timestamp"] * (freq is not None)
     rows = tpls.where("mode is not null").withColumn("_value", value)
     if freq is not None:
