@@ -25,7 +25,8 @@ def _csv(spark, df, table: str, **options):
     """df after a round trip through csv files."""
     path = _folder(spark)
     tables.write_csv(df, path, table, sep=";")
-    return getattr(tables, f"read_{table}_csv")(spark, path, index_col="id", tz="UTC", sep=";", **options)
+    zone = {} if table == "locations" else {"tz": "UTC"}
+    return getattr(tables, f"read_{table}_csv")(spark, path, index_col="id", sep=";", **zone, **options)
 
 
 _PFS = "select id, user_id, t, elevation, round(lon, 9) as lon, round(lat, 9) as lat from pfs"
