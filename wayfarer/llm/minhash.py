@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tables:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and kept."""
     made = written(sketches(docs, width, tables, rows), "sketches")
     usable = F.col("doc_id").isNotNull() & (F.col("n") > 0)
-    reps = made.where(usable).groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    reps = written(made.where(usable).groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "reps")  # written, so that a join with a class of very many copies can be split
     member = made.where(usable).join(reps, ["d1", "d2"])
     sketch = [f"e{k}" for k in range(_sketch_words(2 * tables * rows))]
     classes = member.where("doc_id = rep").groupBy("rep").agg(F.min(F.struct("d1", "d2", "n", "a", "b", *sketch)).alias("s")).select("rep", "s.*")
