@@ -135,7 +135,7 @@ def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, rank: int = 6,
     return replace(machine, bias=bias - float(inside + outside) / 2)  # 0.5 stands midway between the classes' edges
 
 
-def telling_pairs(term: np.ndarray, count: np.ndarray, known: np.ndarray, pull: np.ndarray, least: float = 6.0, bits: int = 20, block: int = 2_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def telling_pairs(term: np.ndarray, count: np.ndarray, known: np.ndarray, pull: np.ndarray, least: float = 6.0, bits: int = 20, block: int = 250_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (a, b, z) of known terms whose texts are pulled to one side by least standard errors, while the texts with one of the two
     alone are pulled to the other side by two. pull: what each text's logit lacks, whose mean is taken off.
 
@@ -163,10 +163,12 @@ def telling_pairs(term: np.ndarray, count: np.ndarray, known: np.ndarray, pull:
         total += np.bincount(bin_, p, 1 << bits)
         square += np.bincount(bin_, p * p, 1 << bits)
     high = np.abs(total) >= (least - 1) * np.sqrt(np.maximum(square, 1e-12))
-    parts = [(key[on], p[on]) for key, bin_, p in blocks() if (on := high[bin_]).any()]
-    key, p = (np.concatenate([x[k] for x in parts]) if parts else np.empty(0, kind) for k, kind in ((0, np.int64), (1, float)))
-    key, which = np.unique(key, return_inverse=True)
-    both, wide = np.bincount(which, p, len(key)), np.bincount(which, p * p, len(key))
+    key, both, wide = np.empty(0, np.int64), np.empty(0), np.empty(0)
+    for k, bin_, p in blocks():  # summed up at once, so that memory follows the different pairs in those bins
+        on = high[bin_]
+        if on.any():
+            key, which = np.unique(np.concatenate([key, k[on]]), return_inverse=True)
+            both, wide = (np.bincount(which, np.concatenate([sums, x]), len(key)) for sums, x in ((both, p[on]), (wide, p[on] ** 2)))
     z, a, b = both / np.sqrt(np.maximum(wide, 1e-12)), key >> BITS, key & ((1 << BITS) - 1)
     on = np.abs(z) >= least
     for one in (a, b):
