@@ -148,3 +148,34 @@ def test_near_duplicates_odd(spark):
     rows = [r for r in ODD if r[0] != 3] + [(3, "one two three"), (3, "one two three"), (20, "ONE two\tthree"), (21, "one"), (22, "One "), (23, "x y")]
     assert sorted(map(tuple, near_duplicates(odd_docs(spark, rows), 2).collect()), key=str) == brute_near(rows, 2)
     assert near_duplicates(odd_docs(spark, []), 2).collect() == []
+
+
+def test_seeds_in_pieces():
+    """Anchors and marks of a slice are the same however it is cut into pieces, and the pieces bound what a task holds."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from wayfarer.llm.substring import _seeded, anchors
+    from wayfarer.llm.terms import word_hashes
+
+    rng = np.random.default_rng(4)
+    shared = " ".join(f"p{k}" for k in range(60))
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 3000, 400)) + (" " + shared) * (i % 3 == 0) for i in range(1200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([0] * len(texts), pa.int32()), pa.array(texts)], names=["doc", "tid", "text"])
+    h, count, *_ = word_hashes(batch.column("text"))
+    text, anchor, context, lo, hi, at = anchors(h, count, 20)
+    base = (np.cumsum(count) - count)[text]
+    tracemalloc.start()
+    got = list(_seeded(iter([batch]), 20))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    rows = pa.Table.from_batches(got).to_pylist()
+    assert [(r["anchor"], r["context"], r["doc"], r["lo"], r["hi"], r["at"]) for r in rows] == list(zip(anchor.view(np.int64).tolist(), context.view(np.int64).tolist(), text.tolist(), (lo - base).tolist(), (hi - base).tolist(), (at - base).tolist(), strict=True))
+    first: dict = {}
+    for r in sorted(rows, key=lambda r: (r["doc"], r["lo"])):
+        key = (r["anchor"], r["context"])
+        assert r["again"] == (key in first and first[key] != (r["doc"], r["lo"]))
+        first.setdefault(key, (r["doc"], r["lo"]))
+    assert any(r["again"] for r in rows) and peak < 25_000_000

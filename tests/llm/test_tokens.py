@@ -226,3 +226,24 @@ def test_store_hot_id(spark, library, tmp_path):
     assert sorted(g[1:] for g in got) == sorted((d, len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for (d, _), i in zip(rows, ids, strict=True))
     assert [g[1] for g in got] == sorted(g[1] for g in got)
     assert [g[0] for g in got] == [0, *np.cumsum([g[2] for g in got])[:-1].tolist()]
+
+
+def test_tables_are_given_up(spark):
+    """Workers are handed from operator to operator, and keep a tokenizer's tables only while their tasks use them."""
+    import pyarrow as pa
+
+    from wayfarer.llm.bpe import bpe_round_trip, tokenizer_path
+    from wayfarer.llm.common import slices
+
+    docs = spark.createDataFrame([(i, "some words of a text") for i in range(40)], "doc_id bigint, text string").repartition(4)
+    bpe_round_trip(docs, tokenizer_path("byte_bpe_50k.json")).collect()
+
+    def held(batches):
+        import gc
+
+        from wayfarer.llm.bpe import SpeculativeBPE
+
+        for _ in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([sum(isinstance(x, SpeculativeBPE) for x in gc.get_objects())], pa.int32())], names=["n"])
+
+    assert {r["n"] for r in docs.select("text").mapInArrow(held, "n int").collect()} == {0}

@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from wayfarer.llm.common import mix64
+from wayfarer.llm.common import kept, mix64
 
 #: White space beyond ASCII (fixed by Unicode).
 WIDE_SPACES = frozenset("\x85\xa0                　")
@@ -612,14 +612,11 @@ _KIND[0xC3] = 2
 _KIND[0x80:0xC0] = 3
 _KIND[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) != "'"]] = 4
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
-_LOADED: dict[str, SpeculativeBPE] = {}
 
 
 def encoder(path: str) -> SpeculativeBPE:
-    """The encoder of a file, loaded once in each worker process."""
-    if path not in _LOADED:
-        _LOADED[path] = SpeculativeBPE(path)
-    return _LOADED[path]
+    """The encoder of a file, kept by a worker process as long as its tasks ask for it."""
+    return kept(path, lambda: SpeculativeBPE(path))
 
 
 def tokenizer_path(name: str) -> str:

@@ -41,6 +41,8 @@ from wayfarer.llm.terms import word_hashes
 
 SEED = 5  #: words of a seed
 LOCAL = 256  #: occurrences of a key that one task works on alone
+SLICE = 3_000_000  #: bytes of text in which repeats are marked before anything is written
+PIECE = 500_000  #: bytes of text in which anchors are found at once
 BASE = 0x2545F4914F6CDD1D  #: odd, so that its powers have inverses modulo 2**64
 FIRST = -(1 << 63)
 
@@ -97,29 +99,34 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST)).alias("doc"), F.hash("text").alias("tid"), "text")
 
 
-def seeds(docs: DataFrame, window: int) -> DataFrame:
-    """The anchors of all texts. Within a slice of the input, `again` marks those whose context starts earlier in the slice."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 3_000_000):
-            h, count, *_ = word_hashes(b.column("text"))
+def _seeded(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Anchors are found in pieces of a slice, as that takes many arrays of the length of the words; what repeats is marked over
+    all anchors of the slice, which are few."""
+    for b in slices(batches, SLICE):
+        parts = []
+        for piece in slices(iter([b]), PIECE):
+            h, count, *_ = word_hashes(piece.column("text"))
             text, anchor, context, lo, hi, at = anchors(h, count, window)
-            doc, tid = b.column("doc").to_numpy(zero_copy_only=False)[text], b.column("tid").to_numpy(zero_copy_only=False)[text]
             base = (np.cumsum(count) - count)[text]
-            lo, hi, at = lo - base, hi - base, at - base
-            order = np.lexsort((lo, doc, context, anchor))
-            a, c, d, s = anchor[order], context[order], doc[order], lo[order]
-            same = np.zeros(len(order), bool)
-            same[1:] = (a[1:] == a[:-1]) & (c[1:] == c[:-1])
-            head = np.maximum.accumulate(np.where(~same, np.arange(len(order)), 0))
-            again = np.zeros(len(order), bool)
-            again[order] = (d != d[head]) | (s != s[head])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), pa.array(doc), pa.array(tid), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(again)],
-                names=["anchor", "context", "doc", "tid", "lo", "hi", "at", "again"],
-            )
-
-    return _keyed(docs).mapInArrow(run, _SEEDS)
+            ids = [piece.column(c).to_numpy(zero_copy_only=False)[text] for c in ("doc", "tid")]
+            parts.append((anchor, context, *ids, *(x.astype(np.int32) for x in (lo - base, hi - base, at - base))))
+        anchor, context, doc, tid, lo, hi, at = map(np.concatenate, zip(*parts, strict=True))
+        order = np.lexsort((lo, doc, context, anchor))
+        a, c, d, s = anchor[order], context[order], doc[order], lo[order]
+        same = np.zeros(len(order), bool)
+        same[1:] = (a[1:] == a[:-1]) & (c[1:] == c[:-1])
+        head = np.maximum.accumulate(np.where(~same, np.arange(len(order)), 0))
+        again = np.zeros(len(order), bool)
+        again[order] = (d != d[head]) | (s != s[head])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), pa.array(doc), pa.array(tid), pa.array(lo), pa.array(hi), pa.array(at), pa.array(again)],
+            names=["anchor", "context", "doc", "tid", "lo", "hi", "at", "again"],
+        )
+
+
+def seeds(docs: DataFrame, window: int) -> DataFrame:
+    """The anchors of all texts. Within a slice of the input, `again` marks those whose context starts earlier in the slice."""
+    return _keyed(docs).mapInArrow(lambda it: _seeded(it, window), _SEEDS)
 
 
 _ROWS = "key bigint, anchor bigint, known_left int, known_right int, doc bigint, tid int, at int, left binary, right binary"
