@@ -247,3 +247,25 @@ def test_tables_are_given_up(spark):
             yield pa.RecordBatch.from_arrays([pa.array([sum(isinstance(x, SpeculativeBPE) for x in gc.get_objects())], pa.int32())], names=["n"])
 
     assert {r["n"] for r in docs.select("text").mapInArrow(held, "n int").collect()} == {0}
+
+
+def test_store_slices():
+    """What encoding takes beside the encoder is bounded by the store's slices, not by the rows in a batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from wayfarer.llm import wavelet
+    from wayfarer.llm.bpe import encoder, tokenizer_path
+    from wayfarer.llm.common import slices
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 3000, 400)) for _ in range(2200)]
+    batch, enc = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]), encoder(tokenizer_path("byte_bpe_50k.json"))
+    whole = enc.encode_arrow(batch.column("text"))
+    tracemalloc.start()
+    parts = [enc.encode_arrow(b.column("text")) for b in slices(iter([batch]), wavelet.SLICE)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(parts) > 2 and all(np.array_equal(np.concatenate(x), y) for x, y in zip(zip(*parts, strict=True), whole, strict=True))
+    assert peak < 60_000_000, peak

@@ -36,6 +36,7 @@ from wayfarer.llm.common import scratch, slices
 MAGIC = b"WAVM\x02"
 BLOCK = 1 << 15  #: bits of a plane that are compressed together
 RANGE_BYTES = 64 << 20  #: of text, about, in each range of doc_id
+SLICE = 1_000_000  #: bytes of text that a task encodes at once
 
 
 class WaveletMatrix:
@@ -210,7 +211,7 @@ def write_shards(docs: DataFrame, path: str, out: str, end_id: int = 2, shard_id
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in slices(batches):
+        for b in slices(batches, SLICE):
             flat, count = enc.encode_arrow(b.column("text"))
             total = count + 1
             ids = np.full(int(total.sum()), end_id, enc.dtype if end_id < enc.size else "<u4")
