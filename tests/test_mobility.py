@@ -305,3 +305,23 @@ def test_more_metrics(spark):
     for metric, (one, zero) in want.items():
         got = {(r["i"], r["j"]): r["distance"] for r in distance_matrix(pts, dist_metric=metric).collect()}
         assert (got[0, 1], got[0, 2], got[0, 0]) == (pytest.approx(one), pytest.approx(zero), pytest.approx(0.0, abs=1e-12)), metric
+
+
+def test_matrix_of_lines_by_blocks(spark, monkeypatch):
+    """Repeated lines, small blocks and lines without points, against one pair at a time; Python isn't called with pairs."""
+    from wayfarer.operators import spatial
+
+    monkeypatch.setattr(spatial, "LINES_A_TASK", 7)
+    monkeypatch.setattr(spatial, "VERTICES_A_TASK", 16)
+    rng = np.random.default_rng(5)
+    kinds = [rng.integers(0, 4, (int(rng.integers(0, 6)), 2)).astype(float) for _ in range(9)]
+    rows = [kinds[int(rng.integers(0, 9))] for _ in range(40)]
+    frame = spark.createDataFrame([(k, [{"x": float(p), "y": float(q)} for p, q in r]) for k, r in enumerate(rows)], "id long, geom array<struct<x:double,y:double>>").repartition(3)
+    for kind in ("dtw", "frechet"):
+        matrix = distance_matrix(frame, dist_metric=kind)
+        assert "ArrowEvalPython" not in matrix._jdf.queryExecution().toString()
+        got = matrix.collect()
+        assert len(got) == 1600
+        for r in got:
+            a, b = rows[r["i"]], rows[r["j"]]
+            assert r["distance"] == (geo.line_distances([a], [b], kind)[0] if len(a) and len(b) else None)
