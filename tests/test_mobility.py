@@ -307,6 +307,14 @@ def test_more_metrics(spark):
         assert (got[0, 1], got[0, 2], got[0, 0]) == (pytest.approx(one), pytest.approx(zero), pytest.approx(0.0, abs=1e-12)), metric
 
 
+def test_matrix_of_points_is_dealt_out(spark):
+    """A table of few bytes makes many pairs: they are measured by tasks of a bounded number of them, whatever the table's own partitions."""
+    pts = spark.range(0, 9000, 1, 1).select("id", (F.col("id") / 1000).alias("lon"), (F.col("id") % 7 / 10).alias("lat"))
+    per_task = [r["count"] for r in distance_matrix(pts, dist_metric="euclidean").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per_task) == 9000 * 9000
+    assert max(per_task) <= 4096 * 4096
+
+
 def test_matrix_of_lines_by_blocks(spark, monkeypatch):
     """Repeated lines, small blocks and lines without points, against one pair at a time; Python isn't called with pairs."""
     from wayfarer.operators import spatial
