@@ -333,3 +333,79 @@ def test_matrix_of_lines_by_blocks(spark, monkeypatch):
         for r in got:
             a, b = rows[r["i"]], rows[r["j"]]
             assert r["distance"] == (geo.line_distances([a], [b], kind)[0] if len(a) and len(b) else None)
+
+
+def plain_clusters(x, y, order, epsilon, least):
+    """By definition, with all distances at hand: the number of each point's location, or None."""
+    near = geo.np_haversine(x[:, None], y[:, None], x[None], y[None]) <= epsilon
+    core = near.sum(1) >= least
+    label = np.full(len(x), -1)
+    k = 0
+    for i in order:
+        if core[i] and label[i] < 0:
+            todo = [i]
+            while todo:
+                p = todo.pop()
+                if label[p] < 0:
+                    label[p] = k
+                    todo += np.flatnonzero(near[p] & core & (label < 0)).tolist()
+            k += 1
+    for i in np.flatnonzero(~core):
+        some = label[near[i] & core]
+        label[i] = some.min() if len(some) else -1
+    return [None if v < 0 else int(v) for v in label]
+
+
+@pytest.mark.parametrize("least", [1, 4])
+def test_dataset_clusters_by_cells(spark, least):
+    """Chains, dense places, repeated points, the date line and a pole, against all distances."""
+    rng = np.random.default_rng(11)
+    x, y = [], []
+    for lon, lat in ((8.5, 47.3), (179.9995, -20.0), (30.0, 89.9995)):
+        spread = 0.004 / math.cos(math.radians(min(lat, 89.9)))
+        x += (lon + rng.normal(size=150) * spread).tolist()
+        y += np.minimum(90.0, lat + rng.normal(size=150) * 0.004).tolist()
+    x += [8.5] * 30
+    y += [47.3] * 30
+    x, y = np.array([(v + 180) % 360 - 180 for v in x]), np.array(y)
+    users = rng.integers(0, 9, len(x))
+    rows = [(k, int(users[k]), at(k), float(x[k]), float(y[k])) for k in range(len(x))] + [(len(x), 3, at(1), None, 1.0), (len(x) + 1, 3, at(1), float("nan"), 1.0)]
+    sp = spark.createDataFrame(rows, "id long, user_id long, started_at timestamp, lon double, lat double")
+    want = plain_clusters(x, y, np.lexsort((np.arange(len(x)), users)), 100, least)
+    sp2, locs = generate_locations(sp, num_samples=least, agg_level="dataset")
+    got = {r["id"]: r["location_id"] for r in sp2.collect()}
+    assert [got[k] for k in range(len(x))] == want
+    assert got[len(x)] is None and got[len(x) + 1] is None
+    assert {(r["id"], r["user_id"]) for r in locs.collect()} == {(w, int(u)) for w, u in zip(want, users, strict=True) if w is not None}
+
+
+def test_dataset_clusters_of_one_crowd(spark):
+    """20,000 staypoints within a few metres and on 10,000 spots: no table of all pairs, which would be 4e8 rows."""
+    sp = spark.range(0, 20000, 1, 4).select("id", (F.col("id") % 500).alias("user_id"), F.timestamp_seconds(F.col("id")).alias("started_at"), (8.5 + F.col("id") % 100 * 1e-7).alias("lon"), (47.3 + F.floor(F.col("id") % 10000 / 100) * 1e-7).alias("lat"))
+    from wayfarer.operators import graph, locations
+
+    sizes = []
+    keep = graph.saved
+
+    def counted(df):
+        out = keep(df)
+        sizes.append(out.count())
+        return out
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(locations, "saved", counted)
+        sp2, locs = generate_locations(sp, agg_level="dataset", extent=False)
+    assert max(sizes) <= 20000
+    assert [tuple(r) for r in sp2.groupBy("location_id").count().collect()] == [(0, 20000)]
+    assert locs.count() == 500
+
+
+def test_cells_on_the_verge():
+    """Two dense walls 100.2 m apart aren't linked, and one point between makes them so."""
+    from wayfarer.operators.locations import _Plane
+
+    plane = _Plane(100, True)
+    rows = lambda x: np.array([(a, b, a, b, 0.0) for a in (x, x + 1) for b in np.arange(0, 60, 0.01)])
+    left, right = rows(0.0), rows(101.2)
+    assert not plane.linked(left, right)
+    assert plane.linked(np.vstack([left, [[1.3, 30.0, 1.3, 30.0, 0.0]]]), right)
