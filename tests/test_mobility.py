@@ -409,3 +409,16 @@ def test_cells_on_the_verge():
     left, right = rows(0.0), rows(101.2)
     assert not plane.linked(left, right)
     assert plane.linked(np.vstack([left, [[1.3, 30.0, 1.3, 30.0, 0.0]]]), right)
+
+
+def test_extents_by_pieces(spark):
+    """Rings of more rows than a piece has come out as the kernel's own, without Python objects for their corners."""
+    from wayfarer.operators.locations import _hulls
+
+    rng = np.random.default_rng(2)
+    spots = [sorted({(float(a), float(b)) for a, b in rng.integers(0, 5, (int(rng.integers(1, 9)), 2))}) for _ in range(600)]
+    frame = spark.createDataFrame([(k, [{"x": a, "y": b} for a, b in s], s[0][1]) for k, s in enumerate(spots)], "id long, _spots array<struct<x:double,y:double>>, _lat double")
+    got = {r["id"]: [(p["x"], p["y"]) for p in r["extent"]] for r in frame.mapInArrow(_hulls(50.0, True), "id long, extent array<struct<x:double,y:double>>").collect()}
+    assert len(got) == 600
+    for k, s in enumerate(spots):
+        assert got[k] == list(map(tuple, geo.buffered_hull(np.array(s), 50.0).tolist()))
